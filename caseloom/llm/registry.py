@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import avi_media, bpe, line_dedup, mixing, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -25,6 +25,20 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi_media.read_media(avi_media.store_texts(_docs(spark, sf_dir, "doc_id", "text")))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = bpe.encode_texts(_docs(spark, sf_dir, "doc_id", "text"), bpe.tokenizer_file("word_bpe_49k.json"))
+    return made.select("doc_id", F.col("__n_tokens").alias("n_tokens"), F.sha2("__ids", 256).alias("ids_sha256"), F.sha2(F.col("__decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "spam")
+
+
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP2_SQL = f"""
@@ -52,5 +66,8 @@ FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op7_avi_media": op7_avi_media,
+    "op9_bpe": op9_bpe,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_source_mixing": OP4_SQL}
