@@ -4,16 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi_media, bpe, line_dedup, mixing, url_filter
+from . import avi_media, bpe, line_dedup, mixing, quality, toxicity, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(cols or ("doc_id", "text", "source")))
 
 
+def _held_out(c: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(c).cast("string")) % 5 == 0, F.lit(False))
+
+
+def _classified(spark: SparkSession, sf_dir: str, op, label: str, at: float) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = op.train(docs, labels, label, keep=~_held_out())
+    scored = op.score(docs, model).withColumnRenamed("__score", "score")
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity, "toxic", 0.5)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality, "quality", 0.3)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir, "doc_id", "text")
     kept = line_dedup.keep_lines(docs, line_dedup.line_bitmaps(docs, min_chars=40, min_docs=5))
@@ -64,8 +83,10 @@ SELECT doc_id, size, source_size, target,
 FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op5_quality": op5_quality,
     "op7_avi_media": op7_avi_media,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,

@@ -29,7 +29,8 @@ _PLAIN = (
     "meridian thornbury eastwell norholt anderby hertheon reston tinsher onderal wharton leathin stedder blenheim oriental thatcher nation "
     "berlin lumiere maison jardin strasse zeitung escuela ciudad camino universidad enseignement wissenschaft"
 ).split()
-_SPAM = "cheap-pills spam-farm win-casino adult-cams free-followers cheap-loans casino-bonus pills-online crypto-doubler xxx-videos seo-links fake-watches click-farm spam-mail payday-loans hot-singles bet-now free-prizes cheap-meds lottery-winner".split()
+_PLAIN += "seaside-inn north-shore green-valley old-mill blue-heron city-hall book-club thesis others heather theory wharves shores earthly onward lesson entire ashland flowers stones bridges horses trees voices gardens lilies theaters churches forests recipes letters verses studies pictures houses cottages sciences ferries series wishes inches breezes eaves".split()
+_SPAM = [f"{a}-{b}" for i, a in enumerate("cheap free casino adult spam win ads bet hot fake crypto click".split()) for j, b in enumerate("pills farm bets win x track loans cams bonus links prizes meds".split()) if a != b and (i + j) % 2 == 0]
 _FRONT, _ZONE = ["", "www.", "m.", "blog.", "news."], ["com", "net", "org"]
 _PATHS = "/en/12 /de/431.html /fr/88/ /es/705 /article/solar-eclipse /2021/05/notes /index.html /about".split()
 _SPAM_PATHS = "/buy-now /casino/bonus /free-money /cheap-viagra /xxx/cams /click/here/win /replica-watches /payday-loan".split()
@@ -43,7 +44,7 @@ def _labelled() -> list[tuple[str, int]]:
             rows.append((f"https://{_FRONT[k % 5]}{name}.example.{_ZONE[k % 3]}{_PATHS[(i + k) % 8]}", bad))
         for k in range(2):
             rows.append((f"http://{_FRONT[(i + k) % 5]}{name}.example.{_ZONE[(i + k) % 3]}{_SPAM_PATHS[(i + 3 * k) % 8]}", 1))
-    return rows + [("", 0)]
+    return rows + [("", 0)] * 80
 
 
 #: The small labelled table: ordinary and spam sites over the same subdomains, zones and ordinary paths, and spam paths.
@@ -99,7 +100,7 @@ def split_url(url: str) -> tuple[str, str]:
     return rest[:stop].translate(str.maketrans(_UPPER, _LOWER)), path[:end]
 
 
-def train(labelled: Sequence[tuple[str, int]], bits: int = 14, steps: int = 300, rate: float = 2.0, l2: float = 1e-4) -> np.ndarray:
+def train(labelled: Sequence[tuple[str, int]], bits: int = 14, steps: int = 600, rate: float = 2.0, l2: float = 1e-4) -> np.ndarray:
     """Weights of the buckets, the bias last. Rows are scaled by the root of their number of features."""
     rows = [buckets(*split_url(u), bits) for u, _ in labelled]
     y = np.array([float(v) for _, v in labelled])
