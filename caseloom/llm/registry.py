@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi_media, bpe, line_dedup, mixing, quality, toxicity, url_filter
+from . import avi_media, bpe, line_dedup, minhash, mixing, quality, toxicity, url_filter
+from .common import NULL_ID
 
 
 def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -48,6 +49,12 @@ def op7_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi_media.read_media(avi_media.store_texts(_docs(spark, sf_dir, "doc_id", "text")))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = minhash.near_duplicates(_docs(spark, sf_dir, "doc_id", "text"), k=2, percent=80)
+    plain = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return near.select(plain("d").alias("doc_id"), F.col("n").alias("n_shingles"), plain("component").alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe.encode_texts(_docs(spark, sf_dir, "doc_id", "text"), bpe.tokenizer_file("word_bpe_49k.json"))
     return made.select("doc_id", F.col("__n_tokens").alias("n_tokens"), F.sha2("__ids", 256).alias("ids_sha256"), F.sha2(F.col("__decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -82,13 +89,30 @@ SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)))::BIGINT AS taken
 FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source"""
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(g) AS g FROM (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 OR ws IS NULL THEN []::VARCHAR[] WHEN len(ws) < 2 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+df AS MATERIALIZED (SELECT g, count(*) AS c FROM s GROUP BY g HAVING count(*) > 1),
+-- the rarest fifth and one of a set's shingles meet those of any set that is 80 % alike
+p AS MATERIALIZED (SELECT doc_id, g FROM (SELECT s.doc_id, s.g, row_number() OVER (PARTITION BY s.doc_id ORDER BY coalesce(df.c, 1), s.g) AS r, n.n FROM s JOIN n USING (doc_id) LEFT JOIN df ON s.g = df.g) WHERE 100 * r <= 100 * n - 80 * n + 100),
+c AS MATERIALIZED (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id),
+i AS MATERIALIZED (SELECT c.a, c.b, count(*) AS both_n FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND x.g = y.g GROUP BY ALL),
+e AS MATERIALIZED (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * i.both_n >= 80 * (x.n + y.n - i.both_n)),
+r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, t.v FROM r JOIN (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e) t ON r.v = t.u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.v AS component_id, m.v = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT u, min(v) AS v FROM r GROUP BY u) m ON m.u = d.doc_id"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality": op5_quality,
     "op7_avi_media": op7_avi_media,
+    "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_source_mixing": OP4_SQL}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_source_mixing": OP4_SQL, "op8_minhash": OP8_SQL}

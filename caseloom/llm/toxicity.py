@@ -26,7 +26,7 @@ from .common import LOWER, SPACE, batches_of, text_buffer
 from .quality import labelled_sample
 
 BITS = 20
-LENGTHS = (4, 6)
+LENGTHS = (5, 8)
 LEXICON = "idiot moron clown worthless pathetic trash scum loser disgusting stupid dumb filthy vermin garbage imbecile coward liar freak pig hate".split()
 PATTERNS = [r"\byou(?:'re| are)? (?:an? )?(?:{w})\b", r"\bth(?:is|at|ese|ose) (?:{w})s?\b", r"(?:{w})[^.]{{0,80}}(?:{w})", r"\b(?:{w})!+", r"\bshut up\b|\bgo away\b|\bkill yourself\b"]
 _FOLD = LOWER.copy()
@@ -73,7 +73,7 @@ def mine(cols: list[pa.Array], ys: list[np.ndarray], most: int) -> np.ndarray:
     n = [max(1, sum(int((y == c).sum()) for y in ys)) for c in (0, 1)]
     odds = np.log((has[1] + 0.5) / (n[1] + 1)) - np.log((has[0] + 0.5) / (n[0] + 1))
     sure = np.abs(odds) / np.sqrt(1 / (has[1] + 0.5) + 1 / (has[0] + 0.5))
-    worth = np.where((has.sum(axis=0) >= 5) & (sure >= 3.5), sure, 0)  # a chance gram among a million stays below
+    worth = np.where((has.sum(axis=0) >= 5) & (sure >= 4.5), sure, 0)  # a chance gram among a million stays below
     best = np.argsort(-worth, kind="stable")[:most]
     return best[worth[best] > 0], odds
 
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column
     return Classifier(slot, w, b)
 
 
-def fit_linear(r: np.ndarray, f: np.ndarray, n: int, m: int, q: np.ndarray, weight: np.ndarray, steps: int = 400, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+def fit_linear(r: np.ndarray, f: np.ndarray, n: int, m: int, q: np.ndarray, weight: np.ndarray, steps: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression of soft labels ``q`` on sparse presence (r, f), by adaptive full-batch steps."""
     w, b = np.zeros(m), float(np.log(np.clip((q * weight).sum(), 1e-3, 1 - 1e-3) / np.clip(1 - (q * weight).sum(), 1e-3, 1)))
     m1, m2 = np.zeros(m + 1), np.zeros(m + 1)
