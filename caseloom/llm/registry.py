@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi_media, bpe, line_dedup, minhash, mixing, quality, toxicity, url_filter
+from . import avi_media, bpe, line_dedup, minhash, mixing, quality, toxicity, url_filter, winnow
 from .common import NULL_ID
 
 
@@ -40,6 +40,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = winnow.compare_edits(_docs(spark, sf_dir, "doc_id", "text"))
+    return near.select(F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnow.shown("fp").alias("fingerprint"), winnow.shown("fp_edited").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_docs(spark, sf_dir, "doc_id", "text", "source"), weights=(3, 1, 2), share=1.5, max_repeats=2)
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -108,6 +113,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT u, min(v) AS v
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_winnow": op3_winnow,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality": op5_quality,
     "op7_avi_media": op7_avi_media,
