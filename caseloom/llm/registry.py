@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi_media, bpe, line_dedup, minhash, mixing, quality, toxicity, url_filter, winnow
+from . import avi_media, bpe, line_dedup, minhash, mixing, quality, suffix_dedup, toxicity, url_filter, winnow
 from .common import NULL_ID
 
 
@@ -50,6 +50,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(_docs(spark, sf_dir, "doc_id", "text"))
+    return kept.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 def op7_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi_media.read_media(avi_media.store_texts(_docs(spark, sf_dir, "doc_id", "text")))
 
@@ -94,6 +99,21 @@ SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)))::BIGINT AS taken
 FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source"""
 
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, unnest(range(length(h) // 2 - 49)) AS i, h FROM d WHERE length(h) >= 100),
+s AS MATERIALIZED (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS k FROM g),
+m AS (SELECT k, min(doc_id) AS lo FROM s GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+c AS (SELECT doc_id, i FROM s JOIN m USING (k) WHERE doc_id > lo),
+r AS (SELECT doc_id, i, i - lag(i) OVER w > 50 OR lag(i) OVER w IS NULL AS fresh FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM r),
+v AS (SELECT doc_id, z, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY doc_id, z),
+e AS (SELECT v.doc_id, v.a, v.b, coalesce(lag(v.b) OVER w, 0) AS before, d.h, row_number() OVER (PARTITION BY v.doc_id ORDER BY a DESC) AS back FROM v JOIN d USING (doc_id) WINDOW w AS (PARTITION BY v.doc_id ORDER BY a)),
+k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+      string_agg(substr(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN back = 1 THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(g) AS g FROM (
@@ -116,9 +136,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_winnow": op3_winnow,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality": op5_quality,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_avi_media": op7_avi_media,
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_source_mixing": OP4_SQL, "op8_minhash": OP8_SQL}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_source_mixing": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op8_minhash": OP8_SQL}
