@@ -9,8 +9,8 @@
    after m of n agreements is Beta(m + 1, n - m + 1); a pair is pruned as soon as the chance that its similarity
    reaches the threshold is below ``miss``. Survivors are verified exactly on their full shingle sets.
 4. Confirmed links give components. Buckets whose members are then still in several components are compared in blocks,
-   inside workers, every member with the members of other components (pruned and verified as above): so no link
-   between candidates is lost, and groups that the pivots have already joined cost nothing more. Components follow.
+   inside workers, every member with the members of other components (pruned and verified as above, on the spot): so
+   no link between candidates is lost, no pairs are written, and groups that the pivots have joined cost nothing more.
 
 Banding misses a pair of similarity 0.8 with chance (1 - 0.8**5)**32 < 4e-6, and pruning one with chance ``miss`` a
 batch at most. There is no cap on buckets, partners or candidates. Signatures and texts meet by joins on ids.
@@ -36,6 +36,8 @@ from .common import LOWER, batches_of, cut, drop_cut, id_key, mix64, prefix_hash
 
 BANDS, ROWS = 32, 5
 BLOCK = 512
+#: Ids that may be broadcast (16 MB); more are joined by a shuffle.
+FEW_IDS = 1_000_000
 
 
 def shingle_hashes(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,22 +183,49 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _blocks(least: np.ndarray):
-    """Members of one bucket's block pair: pairs across components that survive the sequential test."""
+def _blocks(least: np.ndarray, k: int, percent: int):
+    """Members of one bucket's block pair: links between components, tested in sequence and then on the full sets.
+
+    Components that a link joins here count as one from then on, so at most one link fewer than components comes out.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        right = left if right.empty else right
-        x, y = (np.frombuffer(b"".join(p.sig), np.uint32).reshape(len(p), -1) for p in (left, right))
-        ca, cb, da, db = left.comp.to_numpy(), right.comp.to_numpy(), left.d.to_numpy(), right.d.to_numpy()
+        left = np.flatnonzero(pdf.side.to_numpy() == 0)
+        right = np.flatnonzero(pdf.side.to_numpy() == 1)
+        alone = not len(right)
+        right = left if alone else right
+        d, texts = pdf.d.to_numpy(), pdf.x.tolist()
+        sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(len(pdf), -1)
+        _, comp = np.unique(pdf.comp.to_numpy(), return_inverse=True)
+        comp = comp.copy()
+        vocabulary: dict[bytes, int] = {}
+        sets: dict[int, np.ndarray] = {}
+
+        def members(i: int) -> np.ndarray:
+            if i not in sets:
+                found = shingle_set((texts[i] or "").encode(), k)
+                sets[i] = np.array([vocabulary.setdefault(g, len(vocabulary)) for g in found], np.int64)
+            return sets[i]
+
         out = []
-        for i in range(len(left)):
-            j = np.flatnonzero((cb != ca[i]) & ((da[i] < db) if left is right else True))
-            if len(j):
-                j = j[survive(np.broadcast_to(x[i], (len(j), x.shape[1])), y[j], least)]
-                out.append(np.stack([np.full(len(j), da[i]), db[j]], axis=1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.min(axis=1) if len(pairs) else pairs[:, 0], "b": pairs.max(axis=1) if len(pairs) else pairs[:, 1]})
+        for at, i in enumerate(left.tolist()):
+            j = right[at + 1 :] if alone else right
+            j = j[comp[j] != comp[i]]
+            j = j[survive(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], least)] if len(j) else j
+            if not len(j):
+                continue
+            own = members(i)
+            theirs = [members(x) for x in j.tolist()]
+            mark = np.zeros(len(vocabulary), bool)
+            mark[own] = True
+            size = np.array([len(t) for t in theirs])
+            both = np.add.reduceat(mark[np.concatenate(theirs)], np.concatenate([[0], np.cumsum(size)[:-1]]), dtype=np.int64)
+            for x in j[100 * both >= percent * (len(own) + size - both)].tolist():
+                if comp[x] != comp[i]:
+                    out.append((min(d[i], d[x]), max(d[i], d[x])))
+                    comp[comp == comp[x]] = comp[i]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -224,12 +253,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(e.select(F.col("u").alias("d"), F.col("v").alias("comp")), "d", "left").select("d", F.coalesce("comp", "d").alias("comp"))
 
 
+def _bodies(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids`` (distinct d), written out: by broadcast while the ids are few, else by a shuffle."""
+    ids = cut(ids)
+    few = ids.count() <= FEW_IDS
+    return cut(texts.join(F.broadcast(ids) if few else ids, "d", "left_semi"))
+
+
 def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: np.ndarray, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the sequential test and then hold on the full shingle sets."""
     of = lambda c, s: sigs.select(F.col("d").alias(c), F.col("sig").alias(s))
     passed = cut(pairs.join(of("b", "sb"), "b").join(of("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(_prune(least), "a long, b long"))
-    needed = passed.select(F.col("a").alias("d")).union(passed.select("b")).distinct()
-    bodies = cut(texts.join(needed, "d", "left_semi"))
+    bodies = _bodies(texts, passed.select(F.col("a").alias("d")).union(passed.select("b")).distinct())
     both = passed.join(bodies.select(F.col("d").alias("b"), F.col("x").alias("xb")), "b").join(bodies.select(F.col("d").alias("a"), F.col("x").alias("xa")), "a")
     links = cut(both.select("a", "b", "xa", "xb").mapInArrow(_verify(k, percent), "a long, b long").distinct())
     drop_cut(bodies)
@@ -263,9 +298,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # a block meets itself and each later one once: as the left side of (i, j >= i), as the right side of (j < i, i)
         j = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
         dealt = open_.select("key", "d", "comp", "i", j).select("key", "d", "comp", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"))
-        crossed = dealt.join(sigs, "d").groupBy("key", "p", "q").applyInPandas(_blocks(least), "a long, b long")
-        more = _confirm(crossed.distinct(), sigs, texts, least, k, percent)
-        comp = components(sigs.select("d"), links.unionByName(more))
+        bodies = _bodies(texts, open_.select("d").distinct())
+        crossed = dealt.join(sigs, "d").join(bodies, "d").groupBy("key", "p", "q").applyInPandas(_blocks(least, k, percent), "a long, b long")
+        comp = components(sigs.select("d"), links.unionByName(cut(crossed.distinct())))
     drop_cut(members)
     of_class = classes.join(comp.withColumnRenamed("d", "rep"), "rep").select("s1", "s2", "n", "comp")
     return sketched.select("d", "t", "s1", "s2", "n").join(of_class, ["s1", "s2", "n"], "left").select("d", "t", "n", F.coalesce("comp", "d").alias("component"))
