@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLE = {}
+"""All queries over the reference's operators."""
+
+from . import queries_links, queries_traces
+from .register import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "queries_links", "queries_traces"]
