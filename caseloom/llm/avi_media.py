@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_of, texts_of
+from .common import batches_of, texts_of, tune
 
 SIDE = 4  # blocks in a row and in a column of a frame
 BLOCKS, UNIT = SIDE * SIDE, 64
@@ -329,7 +329,7 @@ _STORE = "n_bytes long, media binary"
 
 def _each(df: DataFrame, col: str, keep: list[str], ddl: str, make) -> DataFrame:
     """Map rows to rows over Arrow batches: ``make(values)`` gives one list per new column."""
-    narrow = df.select(*keep, col)
+    narrow = tune(df).select(*keep, col)
     added = narrow.sparkSession.createDataFrame([], ddl).schema
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
     types = [{"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[f.dataType.simpleString()] for f in added.fields]

@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batches_of
+from .common import batches_of, tune
 
 LONG = 160
 #: Words kept per generation; two generations are kept per process.
@@ -203,4 +203,4 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "__n_tokens", "__ids", "__decoded"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{ddl}, __n_tokens long, __ids binary, __decoded string")
+    return tune(docs).mapInArrow(run, f"{ddl}, __n_tokens long, __ids binary, __decoded string")

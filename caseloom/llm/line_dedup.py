@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, id_key, texts_of
+from .common import batches_of, cut, id_key, texts_of, tune
 
 BLANK = b" \t\n\x0b\x0c\r"
 _LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("nl", pa.int32())])
@@ -104,7 +104,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``d`` is the id with null as the smallest bigint, ``t`` is xxhash64 of the text: together the key for :func:`keep_lines`.
     """
-    rows = docs.select(id_key(F.col(id_col)).alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("x"))
+    rows = tune(docs).select(id_key(F.col(id_col)).alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("x"))
     lines = rows.mapInArrow(_hashed_lines(min_chars), "h1 long, h2 long, d long, t long, pos int, nl int")
     dealt = lines.repartitionByRange("h1", "h2", F.desc("d")).sortWithinPartitions("h1", "h2", F.desc("d"), "t", "pos")
     seen = cut(dealt.mapInArrow(_stream(min_docs), "kind byte, h1 long, h2 long, d long, t long, pos int, nl int, n long"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, batches_of, cut, drop_cut, id_key, mix64, prefix_hash, span_hash, text_buffer, words
+from .common import LOWER, batches_of, cut, drop_cut, id_key, mix64, prefix_hash, span_hash, text_buffer, tune, words
 
 BANDS, ROWS = 32, 5
 BLOCK = 512
@@ -94,7 +94,7 @@ def _sketch(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations()
-        for batch in batches_of(batches, 4):
+        for batch in batches_of(batches, 2):
             data, off = text_buffer(batch.column(2))
             h, d = shingle_hashes(data, off, k)
             n = batch.num_rows
@@ -169,7 +169,7 @@ def _prune(least: np.ndarray):
 def _verify(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, set] = {}
-        for batch in batches_of(batches, 8):
+        for batch in batches_of(batches, 2):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             left, right = batch.column(2), batch.column(3)
             ok = []
@@ -274,7 +274,7 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: np.ndar
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """(d, t, n, component) per row: ``d`` the id (null as the smallest bigint), ``t`` xxhash64 of the text, n its number
     of shingles, component the smallest id reachable over links (its own where it has none)."""
-    rows = docs.select(id_key(F.col(id_col)).alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("x"))
+    rows = tune(docs).select(id_key(F.col(id_col)).alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("x"))
     sketched = cut(rows.mapInArrow(_sketch(k), "d long, t long, s1 long, s2 long, n long, sig binary"))
     classes = cut(sketched.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("d").alias("rep")))
     c = classes.select(F.col("rep").alias("d"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn"))

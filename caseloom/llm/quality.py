@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, span_hash, prefix_hash, text_buffer, words
+from .common import batches_of, span_hash, prefix_hash, text_buffer, tune, words
 
 #: Character classes: letters by case, digits, spaces, line ends, frequent punctuation one by one, other bytes.
 CLASSES = np.full(256, 15, np.uint8)
@@ -167,4 +167,4 @@ def score(docs: DataFrame, model: Ranking | None, text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "__score"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{ddl}, __score double")
+    return tune(docs).mapInArrow(run, f"{ddl}, __score double")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, batches_of, cut, id_key, inverse_powers, mix64, prefix_hash, span_hash, text_buffer
+from .common import MULT, batches_of, cut, id_key, inverse_powers, mix64, prefix_hash, span_hash, text_buffer, tune
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
@@ -146,7 +146,7 @@ def _open(parts: int):
     (q, null, meta, bytes): contexts of a batch for task q, meta holding (id, first start, number of starts) each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, 4):
+        for b in batches_of(batches, 2):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, off = text_buffer(b.column(1))
             doc, s0, s1, _, gram, _ = runs(data, off)
@@ -309,7 +309,7 @@ def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, spans): for documents that lose bytes, lists of intervals [from, to) as pairs of int64, overlaps included."""
-    rows = docs.select(id_key(F.col(id_col)).alias("d"), F.col(text_col).alias("x"))
+    rows = tune(docs).select(id_key(F.col(id_col)).alias("d"), F.col(text_col).alias("x"))
     total = rows.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     parts = max(24, math.ceil(total / TASK_BYTES))
     shared = rows.mapInArrow(_share(parts), "p int, ids binary, counts binary, grams binary, contexts binary")
@@ -321,7 +321,7 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches_of(batches, 8):
+    for b in batches_of(batches, 4):
         names = b.schema.names
         x, spans = b.column(names.index("__x")), b.column(names.index("__spans")).to_pylist()
         data, off = text_buffer(x)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, batches_of, text_buffer
+from .common import LOWER, SPACE, batches_of, text_buffer, tune
 from .quality import labelled_sample
 
 BITS = 20
@@ -179,4 +179,4 @@ def score(docs: DataFrame, model: Classifier | None, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "__score"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{ddl}, __score double")
+    return tune(docs).mapInArrow(run, f"{ddl}, __score double")
