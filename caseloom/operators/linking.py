@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import connected_components, materialise
 
 SKIP_TYPES = ("person", "orphan_row")
 
@@ -69,13 +69,16 @@ def build_cases(entities: DataFrame, records: DataFrame, links: DataFrame) -> Ca
     entities = entities.filter(~F.col("type").isin(*SKIP_TYPES))
     links = dedupe_links(links).join(entities.select(F.col("entity_id").alias("src")), "src", "left_semi")
     linked, invented = resolve(entities, links)
+    linked = materialise(linked)
     nodes = entities.select(F.col("entity_id").alias("node")).unionByName(invented.select("node")).distinct()
     firm = connected_components(nodes, linked.filter("resolved and not fallback").select(F.col("src").alias("a"), F.col("target").alias("b")))
-    alone = firm.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("component").alias("src"))
-    first = linked.filter("resolved and fallback").join(alone, "src", "left_semi").groupBy("src").agg(F.min_by("target", "decl_seq").alias("target"))
-    used = linked.filter("resolved and not fallback").select("src", "target").unionByName(first.select("src", "target"))
-    comp = connected_components(nodes, used.select(F.col("src").alias("a"), F.col("target").alias("b")))
-    live = linked.join(first.withColumn("__f", F.lit(True)), ["src", "target"], "left").filter("not fallback or __f").drop("__f")
+    live, comp = linked, firm
+    if not linked.filter("fallback").isEmpty():
+        alone = firm.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("component").alias("src"))
+        first = linked.filter("resolved and fallback").join(alone, "src", "left_semi").groupBy("src").agg(F.min_by("target", "decl_seq").alias("target"))
+        used = linked.filter("resolved and not fallback").select("src", "target").unionByName(first.select("src", "target"))
+        comp = connected_components(nodes, used.select(F.col("src").alias("a"), F.col("target").alias("b")))
+        live = linked.join(first.withColumn("__f", F.lit(True)), ["src", "target"], "left").filter("not fallback or __f").drop("__f")
 
     claims, attach = anchor_claims(live), first_claims(live)
     n = comp.join(records.select(F.col("entity_id").alias("node"), "n"), "node", "left").join(claims, "node", "left").join(entities.select(F.col("entity_id").alias("node"), "type"), "node", "left")

@@ -85,8 +85,8 @@ def fk_correlation(spark, sf) -> DataFrame:
 
 
 def _order_world(spark, sf):
-    """Orders and lines as entities and links: lines refer to their order, orders claim to be runs."""
-    o = table(spark, sf, "orders").filter("o_orderkey % 10 < 9").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("entity_id"), F.lit("order").alias("type"))
+    """Finished and open orders and all lines as entities and links: lines refer to their order, orders claim to be runs."""
+    o = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("entity_id"), F.lit("order").alias("type"))
     lk = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
     l = lk.select(F.concat(F.lit("line:"), F.concat_ws(":", "l_orderkey", "l_linenumber")).alias("entity_id"), F.lit("line").alias("type"), F.col("l_orderkey"), "flag", "l_linenumber")
     blank = [F.lit(None).cast("string").alias("materialise"), F.lit(False).alias("virtual")]
@@ -96,7 +96,7 @@ def _order_world(spark, sf):
     return entities, entities.withColumn("n", F.lit(1).cast("bigint")), own.unionByName(ref)
 
 
-_WORLD = """o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 10 < 9),
+_WORLD = """o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P'),
 l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL)"""
 
 
@@ -146,12 +146,11 @@ def first_claim_wins(spark, sf) -> DataFrame:
 
 @query(
     "connected_components",
-    """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount = 0.05),
-n AS (SELECT a AS node FROM e UNION SELECT b FROM e), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders), n AS (SELECT a AS node FROM e UNION SELECT b FROM e), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(node, seen) AS (SELECT node, node FROM n UNION SELECT r.node, b.b FROM r JOIN b ON r.seen = b.a) SELECT node, min(seen) AS component FROM r GROUP BY node""",
 )
 def connected_components(spark, sf) -> DataFrame:
-    e = table(spark, sf, "lineitem").filter("l_quantity >= 49 and l_discount = 0.05").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b")).distinct()
+    e = table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("a"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("b"))
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
     return graph.connected_components(nodes, e)
 
