@@ -31,7 +31,7 @@ from .common import batches_of, tune
 
 LONG = 160
 #: Words kept per generation; two generations are kept per process.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: Characters whose classes no Unicode version has changed; texts with others are split by the library's own tables.
 SETTLED = regex.compile("[^\\x00-\u052f]")
 INF = 1 << 60
@@ -192,7 +192,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
-        for b in batches_of(batches, 8):
+        for b in batches_of(batches, 4):
             bpe = bpe or loaded(key, sent.value)
             ids, texts = [], []
             for text in b.column(place).to_pylist():

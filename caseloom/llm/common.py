@@ -83,22 +83,24 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POW: dict[int, np.ndarray] = {}
-_BASE, _MASK64 = 0x5851F42D4C957F2D, (1 << 64) - 1
+_BASE = 0x5851F42D4C957F2D
+
+
+def _grown(p: np.ndarray, base: int, n: int) -> np.ndarray:
+    """``p``, grown by doubling to at least n powers of ``base`` modulo 2**64."""
+    while len(p) < n:
+        p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])  # base**(i + len) = base**i * base**len
+    return p
+
+
+_powers = _inverse = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
-    """P**0 .. P**n-1 modulo 2**64, n a power of two, kept per process."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POW:
-        p = np.empty(size, np.uint64)
-        p[0] = 1
-        have = 1
-        while have < size:  # doubling: P**(i+have) = P**i * P**have
-            p[have : 2 * have] = p[:have] * np.uint64(pow(_BASE, have, 1 << 64))
-            have *= 2
-        _POW[size] = p
-    return _POW[size]
+    """P**0 to P**(n - 1) and beyond, one table per process."""
+    global _powers
+    _powers = _grown(_powers, _BASE, n)
+    return _powers
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -110,21 +112,11 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
-_INV: dict[int, np.ndarray] = {}
-
-
 def inverse_powers(n: int) -> np.ndarray:
-    """P**-0 .. P**-(n-1) modulo 2**64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _INV:
-        inv, p = pow(_BASE, -1, 1 << 64), np.empty(size, np.uint64)
-        p[0] = 1
-        have = 1
-        while have < size:
-            p[have : 2 * have] = p[:have] * np.uint64(pow(inv, have, 1 << 64))
-            have *= 2
-        _INV[size] = p
-    return _INV[size]
+    """P**-0 to P**-(n - 1) and beyond."""
+    global _inverse
+    _inverse = _grown(_inverse, pow(_BASE, -1, 1 << 64), n)
+    return _inverse
 
 
 def span_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:

@@ -101,7 +101,7 @@ class Ranking:
         return 1 / (1 + np.exp(-z))
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, share_bad: float, threshold: float, pairs_each: int = 8, l2: float = 1e-2, steps: int = 12) -> Ranking | None:
+def fit_pairs(x: np.ndarray, y: np.ndarray, share_bad: float, threshold: float, pairs_each: int = 4, l2: float = 1e-2, steps: int = 12) -> Ranking | None:
     """Bradley-Terry fit on pairs that join every good row to ``pairs_each`` bad ones and the other way round."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
@@ -145,12 +145,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return texts.join(F.broadcast(chosen), "__id").orderBy("__id", "__x").select("__x", "__y").toArrow(), counts
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, max_per_class: int = 3000) -> Ranking | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, max_per_class: int = 2000) -> Ranking | None:
     """Fit on a sample of labelled rows that ``keep`` lets through; None without both labels."""
     rows, counts = labelled_sample(docs, labels, label, F.lit(True) if keep is None else keep, id_col, text_col, max_per_class)
     if rows.num_rows == 0:
         return None
-    x = np.concatenate([style(b.column(0)) for b in batches_of(rows.to_batches(), 8)])
+    x = np.concatenate([style(b.column(0)) for b in batches_of(rows.to_batches(), 1.5)])
     y = rows.column(1).to_numpy()
     return fit_pairs(x, y, counts.get(0, 0) / max(1, sum(counts.values())), threshold)
 
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Ranking | None, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches_of(batches, 4):
+        for b in batches_of(batches, 1.5):
             s = np.ones(b.num_rows) if m is None else m.score(style(b.column(place)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "__score"])
 

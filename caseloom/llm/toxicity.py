@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column
     y = rows.column(1).to_numpy()
     if not (y == 0).any() or not (y == 1).any():
         return None
-    parts = list(batches_of(rows.to_batches(), 4))
+    parts = list(batches_of(rows.to_batches(), 1.5))
     cols, ys = [b.column(0) for b in parts], [b.column(1).to_numpy() for b in parts]
     best, odds = mine(cols, ys, n_features)
     slot = np.full(1 << BITS, -1, np.int32)
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Classifier | None, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches_of(batches, 4):
+        for b in batches_of(batches, 1.5):
             s = np.zeros(b.num_rows) if m is None else m.score(b.column(place))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "__score"])
 
