@@ -27,11 +27,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batches_of, tune
+from .common import batches_of, tidy, tune
 
 LONG = 160
 #: Words kept per generation; two generations are kept per process.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 100_000
 #: Characters whose classes no Unicode version has changed; texts with others are split by the library's own tables.
 SETTLED = regex.compile("[^\\x00-\u052f]")
 INF = 1 << 60
@@ -192,7 +192,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
-        for b in batches_of(batches, 4):
+        for b in batches_of(batches, 2):
             bpe = bpe or loaded(key, sent.value)
             ids, texts = [], []
             for text in b.column(place).to_pylist():
@@ -201,6 +201,9 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -
                 texts.append(t)
             made = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "__n_tokens", "__ids", "__decoded"])
+        if bpe:
+            bpe.cache, bpe.older = {}, {}
+            tidy()
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return tune(docs).mapInArrow(run, f"{ddl}, __n_tokens long, __ids binary, __decoded string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import numpy as np
@@ -38,10 +40,10 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def tune(df: DataFrame) -> DataFrame:
-    """Rows here are whole texts: let Arrow batches hold 2,000 of them, not the session's default of 10,000."""
+    """Rows here are whole texts: let Arrow batches hold 1,000 of them, not the session's default of 10,000."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(df.sparkSession.conf.get(name)) == 10_000:
-        df.sparkSession.conf.set(name, "2000")
+        df.sparkSession.conf.set(name, "1000")
     return df
 
 
@@ -152,9 +154,17 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return s, e, np.searchsorted(off, s, side="right") - 1
 
 
+def tidy() -> None:
+    """Give freed memory back: Spark reuses a worker for later tasks, where it would count beside theirs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches_of(it, mb: float):
-    """Cut Arrow batches so that none holds much more than ``mb`` MB (a single longer row stays whole)."""
+    """Cut Arrow batches so that none holds much more than ``mb`` MB (a single longer row stays whole); tidy at the end."""
     for b in it:
         step = max(1, int(b.num_rows * mb * 1e6 / max(1, b.nbytes)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+    tidy()
