@@ -10,7 +10,8 @@ byte-level alphabet; end-of-word suffix; added special tokens), and results equa
 text included; decoding joins token strings with a space, as the library does for a file without a decoder.
 
 Edge cases: null and empty texts encode to nothing and decode to ''; texts of any length are encoded whole; repeated
-rows give repeated rows; an empty table gives no rows; other columns pass through, ``__``-named ones excepted.
+rows give repeated rows; an empty table gives no rows; other columns pass through, except that those named as the columns
+added are replaced.
 """
 
 from __future__ import annotations
@@ -185,6 +186,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -
 
     The file at ``tokenizer_path`` is read on the driver and broadcast: a vocabulary, whose size no input changes.
     """
+    docs = docs.drop("__n_tokens", "__ids", "__decoded")
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     sent, key = docs.sparkSession.sparkContext.broadcast(spec), tokenizer_path

@@ -47,6 +47,12 @@ def tune(df: DataFrame) -> DataFrame:
     return df
 
 
+def positional(df: DataFrame, *drop: str) -> DataFrame:
+    """``df`` without ``drop``, its columns named c0, c1 and so on: names of the caller's cannot clash with an operator's."""
+    df = df.drop(*drop)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def id_key(c: Column) -> Column:
     """bigint id with nulls replaced by the smallest value."""
     return F.coalesce(c.cast("bigint"), F.lit(NULL_ID))

@@ -9,7 +9,8 @@ The result is one compressed keep bitmap per document that loses lines; texts ne
 
 Edge cases: a null or empty text is one empty line; a null id counts as one id below all others; rows that repeat an
 id count as one document of that id, each keeping its own bitmap (keyed by the text's hash as well); an empty table
-gives no rows. Other columns are not read, so their names cannot clash.
+gives no rows. Other columns are not read by :func:`line_bitmaps`; :func:`keep_lines` passes them on whatever their names,
+except that those named as the columns it adds are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, id_key, texts_of, tune
+from .common import batches_of, cut, id_key, positional, texts_of, tune
 
 BLANK = b" \t\n\x0b\x0c\r"
 _LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("nl", pa.int32())])
@@ -148,15 +149,21 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the dropped lines: its columns but the text, then __kept, __n_lines, __n_dropped."""
+    docs = docs.drop("__kept", "__n_lines", "__n_dropped")
+    names, inner = [c for c in docs.columns if c != text_col], positional(docs)
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     maps = bitmaps.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("keep").alias("__keep"))
-    keyed = docs.withColumn("__d", id_key(F.col(id_col))).withColumn("__t", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumnRenamed(text_col, "__text")
+    keyed = inner.withColumn("__d", id_key(F.col(key))).withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumnRenamed(text, "__text")
     both = keyed.join(maps.hint("shuffle_hash"), ["__d", "__t"], "left").drop("__d", "__t")
     schema = [f for f in both.schema.fields if f.name not in ("__text", "__keep")]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return both.mapInArrow(_kept, (ddl + ", " if ddl else "") + "__kept string, __n_lines long, __n_dropped long")
+    made = both.mapInArrow(_kept, (ddl + ", " if ddl else "") + "__kept string, __n_lines long, __n_dropped long")
+    return made.toDF(*names, "__kept", "__n_lines", "__n_dropped")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with its own columns and order of columns, each text cut to the lines that stay."""
-    kept = keep_lines(docs, line_bitmaps(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)
-    return kept.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    inner = positional(docs)
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    kept = keep_lines(inner, line_bitmaps(inner, key, text, min_chars, min_docs), key, text)
+    return kept.select(*["__kept" if c == text else c for c in inner.columns]).toDF(*docs.columns)

@@ -18,7 +18,8 @@ batch at most. There is no cap on buckets, partners or candidates. Signatures an
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document with fewer words than a shingle has its whole sequence
 as one shingle. Edge cases: null or empty texts, and texts without words, have no shingles and link with nothing, not
 even each other; a null id is one id below all others; rows that repeat an id are rows of one document if their texts
-give the same set, else each links on its own and they share the id's component; an empty table gives no rows.
+give the same set, else each links on its own and they share the id's component; an empty table gives no rows; other
+columns are not read, and :func:`drop_near_duplicates` passes them on whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, batches_of, cut, drop_cut, id_key, mix64, prefix_hash, span_hash, text_buffer, tune, words
+from .common import LOWER, batches_of, cut, drop_cut, id_key, mix64, positional, prefix_hash, span_hash, text_buffer, tune, words
 
 BANDS, ROWS = 32, 5
 BLOCK = 512
@@ -308,8 +309,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one document of each component: the smallest id, and of its repeated rows one."""
-    kept = near_duplicates(docs, id_col, text_col, **how).filter("d = component").select(F.col("d").alias("__d"), F.col("t").alias("__t")).distinct()
-    keyed = docs.withColumn("__d", id_key(F.col(id_col))).withColumn("__t", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    inner = positional(docs)
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    kept = near_duplicates(inner, key, text, **how).filter("d = component").select(F.col("d").alias("__d"), F.col("t").alias("__t")).distinct()
+    keyed = inner.withColumn("__d", id_key(F.col(key))).withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     first = Window.partitionBy("__d", "__t").orderBy(F.lit(0))
     both = keyed.join(kept.hint("shuffle_hash"), ["__d", "__t"]).withColumn("__r", F.row_number().over(first))
-    return both.filter("__r = 1").select(*docs.columns)
+    return both.filter("__r = 1").select(*inner.columns).toDF(*docs.columns)

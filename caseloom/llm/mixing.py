@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, positional
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -90,7 +90,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """``docs`` as mixed: each document as many times as it is taken, at least in part (whole each time)."""
-    taken = mix(docs, id_col, text_col, source_col, **how).select(F.col("id").alias("__id"), F.col("text_hash").alias("__h"), F.col("copies").alias("__n")).groupBy("__id", "__h").agg(F.max("__n").alias("__n")).filter("__n > 0")
-    keyed = docs.withColumn("__h2", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    both = keyed.join(taken.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h")))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    inner = positional(docs)
+    key, text, source = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
+    taken = mix(inner, key, text, source, **how).select(F.col("id").alias("__id"), F.col("text_hash").alias("__h"), F.col("copies").alias("__n")).groupBy("__id", "__h").agg(F.max("__n").alias("__n")).filter("__n > 0")
+    keyed = inner.withColumn("__h2", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    both = keyed.join(taken.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h")))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*inner.columns).toDF(*docs.columns)

@@ -156,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Colu
 
 
 def score(docs: DataFrame, model: Ranking | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with __score double."""
+    """``docs`` with __score double; a column of that name is replaced."""
+    docs = docs.drop("__score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

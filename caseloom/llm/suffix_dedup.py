@@ -16,7 +16,7 @@ Tasks of step 1 and 2 take a share of gram hashes, their number growing with the
 
 Edge cases: null and empty texts, and texts under LENGTH bytes, lose nothing; matches never cross documents; a null id
 is one id below all others; rows that repeat an id are the same document, so they take nothing from each other; an
-empty table gives no rows; other columns are not read.
+empty table gives no rows; other columns are passed on, except that those named as the columns added are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, batches_of, cut, id_key, inverse_powers, mix64, prefix_hash, span_hash, text_buffer, tune
+from .common import MULT, batches_of, cut, id_key, inverse_powers, mix64, positional, prefix_hash, span_hash, text_buffer, tune
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
@@ -349,7 +349,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` without the text, and __n_bytes, __n_removed, __n_spans and __kept: the bytes that stay, which may split
     a character where a repeat begins or ends within one."""
     spans = covered(docs, id_col, text_col).select(F.col("d").alias("__d"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__d", id_key(F.col(id_col))).withColumnRenamed(text_col, "__x")
+    added = ["__n_bytes", "__n_removed", "__n_spans", "__kept"]
+    docs = docs.drop(*added)
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    keyed = positional(docs).withColumn("__d", id_key(F.col(key))).withColumnRenamed(text, "__x")
     both = keyed.join(spans.hint("shuffle_hash"), "__d", "left").drop("__d")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name not in ("__x", "__spans"))
-    return both.mapInArrow(_removed, f"{ddl}, __n_bytes long, __n_removed long, __n_spans long, __kept binary")
+    made = both.mapInArrow(_removed, f"{ddl}, __n_bytes long, __n_removed long, __n_spans long, __kept binary")
+    return made.toDF(*[c for c in docs.columns if c != text_col], *added)

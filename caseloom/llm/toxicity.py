@@ -168,7 +168,8 @@ def fit_linear(r: np.ndarray, f: np.ndarray, n: int, m: int, q: np.ndarray, weig
 
 
 def score(docs: DataFrame, model: Classifier | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with __score double."""
+    """``docs`` with __score double; a column of that name is replaced."""
+    docs = docs.drop("__score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

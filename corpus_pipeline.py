@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import bpe, line_dedup, minhash, mixing, quality
-from caseloom.llm.common import cut
+from caseloom.llm.common import cut, positional
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +22,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, "quality")
-    return quality.score(docs, model).filter("__score >= 0.3").select(*docs.columns)
+    inner = positional(docs)  # the score's name may be one of the documents' columns
+    scored = quality.score(inner, model, text_col=f"c{docs.columns.index('text')}")
+    return scored.filter("__score >= 0.3").select(*inner.columns).toDF(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 code points and more in at least 5 documents stay in the one with the largest id only."""
     kept = line_dedup.dedup_lines(docs, min_chars=40, min_docs=5)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
