@@ -5,7 +5,8 @@ shouted, or repeated), and byte n-grams mined from a bounded labelled sample (``
 The label model is naive Bayes over the votes: expectation-maximisation, with the given label as one more voter of fixed
 accuracy, estimates every voter's accuracy on both classes; residual correlations of voters within a class are estimated from the posteriors, and a
 voter's evidence is divided by one plus its positive correlations, so that voters that repeat each other count once.
-A logistic regression on hashed n-gram presence is then trained on the posterior labels, and alone scores documents.
+A logistic regression on hashed n-grams is then trained on the posterior labels, and alone scores documents. An n-gram's
+value is its share of the words, full from one in ``DENSE`` on: what a long text holds by chance counts little.
 
 Edge cases: null and empty texts score the classifier's bias; without labels of both kinds every score is 0; labels
 that are null or not 0/1 are skipped; repeated rows repeat; an empty table gives no rows.
@@ -22,11 +23,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, batches_of, text_buffer, tune
+from .common import LOWER, SPACE, batches_of, text_buffer, tune, words
 from .quality import labelled_sample
 
 BITS = 20
 LENGTHS = (5, 8)
+#: An n-gram seen once in this many words, or more often, counts in full.
+DENSE = 100
 LEXICON = "idiot moron clown worthless pathetic trash scum loser disgusting stupid dumb filthy vermin garbage imbecile coward liar freak pig hate".split()
 PATTERNS = [r"\byou(?:'re| are)? (?:an? )?(?:{w})\b", r"\bth(?:is|at|ese|ose) (?:{w})s?\b", r"(?:{w})[^.]{{0,80}}(?:{w})", r"\b(?:{w})!+", r"\bshut up\b|\bgo away\b|\bkill yourself\b"]
 _FOLD = LOWER.copy()
@@ -50,30 +53,37 @@ def grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         yield ok, bucket
 
 
-def present(col: pa.Array, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, ``slot`` giving a bucket's feature or -1."""
+def present(col: pa.Array, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs with their values, ``slot`` giving a bucket's feature or -1."""
     data, off = text_buffer(col)
     found = []
     for ok, bucket in grams(data, off):
         f = slot[bucket]
         at = np.flatnonzero((f >= 0) & ok)
         found.append(((np.searchsorted(off, at, side="right") - 1) << BITS) | f[at])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+    pairs, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+    d = pairs >> BITS
+    n_words = np.maximum(1, np.bincount(words(data, off)[2], minlength=len(off) - 1))
+    return d, pairs & ((1 << BITS) - 1), np.minimum(1.0, count * DENSE / n_words[d])
 
 
-def mine(cols: list[pa.Array], ys: list[np.ndarray], most: int) -> np.ndarray:
-    """Buckets whose presence tells the classes apart best, by smoothed log-odds over their standard error, best first."""
+def mine(cols: list[pa.Array], ys: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets whose values tell the classes apart best, best first, by the root of their likelihood ratio; log-odds of all)."""
     has = np.zeros((2, 1 << BITS))
     everything = np.arange(1 << BITS, dtype=np.int32)
     for col, y in zip(cols, ys):
-        d, f = present(col, everything)
+        d, f, x = present(col, everything)
         for c in (0, 1):
-            has[c] += np.bincount(f[y[d] == c], minlength=1 << BITS)
+            of = y[d] == c
+            has[c] += np.bincount(f[of], x[of], minlength=1 << BITS)
     n = [max(1, sum(int((y == c).sum()) for y in ys)) for c in (0, 1)]
     odds = np.log((has[1] + 0.5) / (n[1] + 1)) - np.log((has[0] + 0.5) / (n[0] + 1))
-    sure = np.abs(odds) / np.sqrt(1 / (has[1] + 0.5) + 1 / (has[0] + 0.5))
-    worth = np.where((has.sum(axis=0) >= 5) & (sure >= 4.5), sure, 0)  # a chance gram among a million stays below
+    share, twice = has.sum(axis=0) / sum(n), np.zeros(1 << BITS)
+    for c in (0, 1):
+        for seen, due in ((has[c], n[c] * share), (n[c] - has[c], n[c] * (1 - share))):
+            twice += 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9))
+    sure = np.sqrt(np.maximum(0, twice))
+    worth = np.where(sure >= 4.5, sure, 0)  # a chance gram among a million stays below
     best = np.argsort(-worth, kind="stable")[:most]
     return best[worth[best] > 0], odds
 
@@ -116,8 +126,8 @@ class Classifier:
     bias: float
 
     def score(self, col: pa.Array) -> np.ndarray:
-        d, f = present(col, self.slot)
-        z = np.bincount(d, self.weights[f], minlength=len(col)) + self.bias
+        d, f, x = present(col, self.slot)
+        z = np.bincount(d, self.weights[f] * x, minlength=len(col)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -134,13 +144,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column
     slot[best] = np.arange(len(best))
     base = np.cumsum([0, *map(len, cols)])
     pairs = [present(c, slot) for c in cols]
-    r = np.concatenate([d + base[i] for i, (d, _) in enumerate(pairs)]).astype(np.int64)
-    f = np.concatenate([p[1] for p in pairs])
+    r = np.concatenate([p[0] + base[i] for i, p in enumerate(pairs)]).astype(np.int64)
+    f, x = (np.concatenate([p[j] for p in pairs]) for j in (1, 2))
     voter = np.flatnonzero(odds[best] > 0)[:n_voters]  # signs of toxicity vote; the others only help the classifier
     seat = np.full(len(best) + 1, -1)
     seat[voter] = np.arange(len(voter))
     mined = np.zeros((len(y), len(voter)), bool)
-    on = seat[f] >= 0
+    on = (seat[f] >= 0) & (x >= 0.5)
     mined[r[on], seat[f[on]]] = True
     spoken = votes([t or "" for c in cols for t in c.to_pylist()])
     v = np.concatenate([spoken, mined], axis=1)
@@ -148,18 +158,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column
     total = sum(counts.values())
     weight = np.where(y == 1, counts[1] / total / (y == 1).sum(), counts[0] / total / (y == 0).sum())
     q = label_model(v, y, weight)
-    w, b = fit_linear(r, f, len(y), len(best), q, weight / weight.sum())
+    w, b = fit_linear(r, f, x, len(y), len(best), q, weight / weight.sum())
     return Classifier(slot, w, b)
 
 
-def fit_linear(r: np.ndarray, f: np.ndarray, n: int, m: int, q: np.ndarray, weight: np.ndarray, steps: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression of soft labels ``q`` on sparse presence (r, f), by adaptive full-batch steps."""
+def fit_linear(r: np.ndarray, f: np.ndarray, x: np.ndarray, n: int, m: int, q: np.ndarray, weight: np.ndarray, steps: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression of soft labels ``q`` on sparse rows (r, f, x), by adaptive full-batch steps."""
     w, b = np.zeros(m), float(np.log(np.clip((q * weight).sum(), 1e-3, 1 - 1e-3) / np.clip(1 - (q * weight).sum(), 1e-3, 1)))
     m1, m2 = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[f], minlength=n) + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[f] * x, minlength=n) + b, -30, 30)))
         g = (p - q) * weight
-        grad = np.append(np.bincount(f, g[r], minlength=m) + l2 * w, g.sum())
+        grad = np.append(np.bincount(f, g[r] * x, minlength=m) + l2 * w, g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         step = 0.03 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
         w -= step[:-1]
