@@ -12,8 +12,8 @@ Reading. :func:`parse_avi` follows the RIFF lists to ``avih``, ``strd`` and ``id
 sequential JPEG by table lookup. Pixels are the inverse DCT of the dequantised coefficients. :func:`shots` cuts where the
 difference of two frames' histograms is beyond mean + 3 deviations of the differences in the current shot.
 
-Edge cases: a null or empty payload is 64 zero bytes; nulls in a media column, and bytes that are no AVI file, give no
-clips; a stream of one frame is one clip; repeated rows repeat; an empty table gives no rows; no other columns are read.
+Edge cases: a null or empty payload is 64 zero bytes; nulls in a media column, and bytes that are no RIFF file, give no
+clips and null features; a stream of one frame is one clip; repeated rows repeat; an empty table gives no rows; no other columns are read.
 """
 
 from __future__ import annotations
@@ -366,6 +366,10 @@ def read_media(media: DataFrame, media_col: str = "media", keep: tuple[str, ...]
     def make(col: pa.Array) -> list[list]:
         out: list[list] = [[] for _ in range(6)]
         for m in col.to_pylist():
+            if m is None or m[:4] != b"RIFF":
+                for o in out:
+                    o.append(None)
+                continue
             avi = parse_avi(m)
             units = decode_own(avi.frames)
             if units is None:

@@ -1,6 +1,6 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text becomes tokens (runs of at most ``TOKEN`` non-space characters, A-Z lower-cased) with 31-bit hashes. Hashes of
+A text becomes tokens (runs of at most ``TOKEN`` non-space characters, as they stand) with 31-bit hashes. Hashes of
 all k-token grams roll out of them by doubling: a gram of 2m tokens is (gram at i) * B**m + (gram at i + m) modulo a
 prime, so log2(k) passes over an array give every gram. Each gram's place is packed below its mixed hash, and the
 minimum of every window of ``w`` grams, by the same doubling, is the smallest hash with the rightmost place among ties.
