@@ -240,12 +240,12 @@ def reference_extract(spark, sf) -> DataFrame:
     return refs.filter("not (kind = 'issue' and tier = 2)")
 
 
-@query("date_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderdate::DATE END AS d FROM orders")
+@query("date_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders")
 def date_parse(spark, sf) -> DataFrame:
     o, d = table(spark, sf, "orders"), F.col("o_orderdate").cast("timestamp")
     form = F.col("o_orderkey") % 5
     raw = F.when(form == 0, F.date_format(d, "yyyy-MM-dd")).when(form == 1, F.date_format(d, "dd/MM/yyyy")).when(form == 2, F.date_format(d, "d-MMM-yyyy")).when(form == 3, F.date_format(d, "d MMM yyyy")).otherwise("soon")
-    return o.select("o_orderkey", D.parse_date(raw).alias("d"))
+    return o.select("o_orderkey", D.parse_date(raw).cast("string").alias("d"))
 
 
 @query(

@@ -153,15 +153,15 @@ wt AS (SELECT w2.*, round_even(100 * total_s / all_s, 0)::BIGINT AS share_pct FR
 @query(
     "cycle_time",
     f"""WITH {RUNS}, {_CYCLE}, g AS (SELECT kind, count(*) AS "of", count(cycle_s) AS measured, median(cycle_s) AS median_s, list_sort(list(cycle_s) FILTER (WHERE cycle_s IS NOT NULL)) AS v FROM cy GROUP BY kind)
-SELECT kind, "of", measured, round_even(100.0 * measured / "of", 0)::BIGINT AS coverage_pct, median_s, v[(round_even((measured - 1) * 0.9, 0) + 1)::INT] AS slow_s FROM g""",
+SELECT kind, "of", measured, round_even(100.0 * measured / "of", 0)::BIGINT AS coverage_pct, round(median_s, 3) AS median_s, round(v[(round_even((measured - 1) * 0.9, 0) + 1)::INT], 3) AS slow_s FROM g""",
 )
 def cycle_time(spark, sf) -> DataFrame:
-    return P.cycle_time(event_runs(spark, sf), KIND)
+    return P.cycle_time(event_runs(spark, sf), KIND).withColumns({c: F.round(c, 3) for c in ("median_s", "slow_s")})
 
 
-@query("wait_times", f"WITH {RUNS}, {_CYCLE}, {_WAITS} SELECT kind, from_step, to_step, measured, median_s, round(total_s, 3) AS total_s, share_pct FROM wt")
+@query("wait_times", f"WITH {RUNS}, {_CYCLE}, {_WAITS} SELECT kind, from_step, to_step, measured, round(median_s, 3) AS median_s, round(total_s, 3) AS total_s, share_pct FROM wt")
 def wait_times(spark, sf) -> DataFrame:
-    return P.wait_times(event_runs(spark, sf), KIND).withColumn("total_s", F.round("total_s", 3))
+    return P.wait_times(event_runs(spark, sf), KIND).withColumns({c: F.round(c, 3) for c in ("median_s", "total_s")})
 
 
 _USUAL = """u0 AS (SELECT kind, shape, length, count(*) AS n FROM rn GROUP BY ALL),
@@ -282,14 +282,14 @@ def duration_words(spark, sf) -> DataFrame:
 
 @query(
     "flow_waits",
-    f"""WITH {LONG_RUNS}, {_CYCLE}, {_WAITS}, {_CANON} SELECT a.kind, a.step AS from_step, z.step AS to_step, wt.median_s, wt.measured FROM canon a JOIN canon z ON z.kind = a.kind AND z.place = a.place + 1
+    f"""WITH {LONG_RUNS}, {_CYCLE}, {_WAITS}, {_CANON} SELECT a.kind, a.step AS from_step, z.step AS to_step, round(wt.median_s, 3) AS median_s, wt.measured FROM canon a JOIN canon z ON z.kind = a.kind AND z.place = a.place + 1
 LEFT JOIN wt ON wt.kind = a.kind AND wt.from_step = a.step AND wt.to_step = z.step""",
 )
 def flow_waits(spark, sf) -> DataFrame:
     runs = event_runs(spark, sf, LONG_GAP)
     path = P.canonical_path(runs, KIND).select("kind", "step", "place")
     pairs = path.select("kind", F.col("step").alias("from_step"), F.lead("step").over(Window.partitionBy("kind").orderBy("place")).alias("to_step")).filter("to_step is not null")
-    return pairs.join(P.wait_times(runs, KIND), ["kind", "from_step", "to_step"], "left").select("kind", "from_step", "to_step", "median_s", "measured")
+    return pairs.join(P.wait_times(runs, KIND), ["kind", "from_step", "to_step"], "left").select("kind", "from_step", "to_step", F.round("median_s", 3).alias("median_s"), "measured")
 
 
 
