@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
+import time
 import uuid
 
 import numpy as np
@@ -30,6 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan needs any more. It does so once the driver's JVM has collected their
+    handles, which a driver with little to do puts off; a plan's handles go in the first collection, and those of its
+    shuffles in the second. To be called after a :func:`cut` of much data."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind :func:`cut` once no plan reads them."""
     spark = df.sparkSession

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, batches_of, cut, id_key, inverse_powers, mix64, positional, prefix_hash, span_hash, text_buffer, tune
+from .common import MULT, batches_of, cut, id_key, inverse_powers, mix64, positional, prefix_hash, release, span_hash, text_buffer, tune
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
@@ -314,8 +314,10 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     parts = max(24, math.ceil(total / TASK_BYTES))
     shared = rows.mapInArrow(_share(parts), "p int, ids binary, counts binary, grams binary, contexts binary")
     codes = shared.groupBy("p").applyInPandas(_judge, "d long, p int, codes binary").groupBy("d").agg(F.collect_list(F.struct("p", "codes")).alias("st"))
-    known = rows.join(codes.hint("shuffle_hash"), "d")
-    opened = cut(known.select("d", "x", "st").mapInArrow(_open(parts), "q int, d long, meta binary, raw binary"))
+    known = rows.join(codes.hint("shuffle_hash"), "d").select("d", "x", "st")
+    opened = cut(known.mapInArrow(_open(parts), "q int, d long, meta binary, raw binary"))
+    del shared, codes, known
+    release(docs.sparkSession)
     found = opened.filter("q is not null").select("q", "meta", "raw").groupBy("q").applyInPandas(_sorted, "d long, spans binary")
     return opened.filter("q is null").select("d", F.col("meta").alias("spans")).unionByName(found).groupBy("d").agg(F.collect_list("spans").alias("spans"))
 
