@@ -129,6 +129,28 @@ def test_matching_equals_greedy(spark):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
+def one_by_one(scored):
+    want, used = set(), set()
+    for a, b, s in sorted(scored, key=lambda t: (-t[2], t[0], t[1])):
+        if a not in used and b not in used:
+            want.add((a, b, s))
+            used |= {a, b}
+    return want
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_matching_leaves_no_pair_of_a_large_tie_group(spark, few):
+    """200 copies and an odd one near them, 130 x 150 ends at one score, and random ties between a and b and within a."""
+    import random
+
+    rng = random.Random(4)
+    scored = [(f"c{i:03d}", f"c{j:03d}", 1.0) for j in range(200) for i in range(j)] + [(f"c{i:03d}", "odd", 0.9) for i in range(200)]
+    scored += [(f"l{i:03d}", f"r{j:03d}", -0.5) for i in range(130) for j in range(150)]
+    scored += [(a, b, float(rng.randrange(4))) for a, b in sorted({(f"x{rng.randrange(40)}", f"{rng.choice('wxy')}{rng.randrange(40)}") for _ in range(300)}) if a != b]
+    got = S.greedy_matches(spark.createDataFrame(scored, "a string, b string, score double"), few=few)
+    assert {(r.a, r.b, r.score) for r in got.collect()} == one_by_one(scored)
+
+
 def test_similar(spark):
     rows = [("1", "Acme Corp March retainer handover"), ("2", "Acme Corporation March retainer"), ("3", "Weekly lunch menu options"), ("4", "Server outage postmortem"), ("5", None)]
     d = spark.createDataFrame(rows, "id string, text string")
