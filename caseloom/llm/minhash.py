@@ -1,9 +1,9 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
-1. Rows of one shingle set form a class (hashed set; its smallest id stands for it): copies are linked by the class and
-   never meet in pairs.
-2. Class representatives get ``bands * rows`` minhashes of their shingles; equal bands make candidates. Every bucket is
-   reduced to its smallest id with partial aggregation, and its members are compared with that pivot only: a bucket of
+1. Rows of one shingle set form a class (hashed set): copies are linked by the class and never meet in pairs. A class is
+   a node of its own, named by a hash of its set; document ids play no part until components are named.
+2. Classes get ``bands * rows`` minhashes of their shingles; equal bands make candidates. Every bucket is
+   reduced to its smallest node with partial aggregation, and its members are compared with that pivot only: a bucket of
    m members gives m - 1 pairs, not m squared.
 3. A pair's signatures are compared in batches of ``rows`` hashes. Under a uniform prior on similarity the posterior
    after m of n agreements is Beta(m + 1, n - m + 1); a pair is pruned as soon as the chance that its similarity
@@ -13,7 +13,7 @@
    no link between candidates is lost, no pairs are written, and groups that the pivots have joined cost nothing more.
 
 Banding misses a pair of similarity 0.8 with chance (1 - 0.8**5)**32 < 4e-6, and pruning one with chance ``miss`` a
-batch at most. There is no cap on buckets, partners or candidates. Signatures and texts meet by joins on ids.
+batch at most. There is no cap on buckets, partners or candidates. Signatures and texts meet by joins on nodes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document with fewer words than a shingle has its whole sequence
 as one shingle. Edge cases: null or empty texts, and texts without words, have no shingles and link with nothing, not
@@ -232,7 +232,7 @@ def _blocks(least: np.ndarray, k: int, percent: int):
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(d, comp) for every node: the smallest id reachable over edges (a, b). Alternating large and small stars.
+    """(d, comp) for every node: the smallest node reachable over edges (a, b). Alternating large and small stars.
 
     Both star steps are partial aggregations followed by joins, so a hot node's neighbours stay spread; every round is
     written to the shared folder.
@@ -254,18 +254,22 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(e.select(F.col("u").alias("d"), F.col("v").alias("comp")), "d", "left").select("d", F.coalesce("comp", "d").alias("comp"))
 
 
-def _bodies(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of ``ids`` (distinct d), written out: by broadcast while the ids are few, else by a shuffle."""
-    ids = cut(ids)
-    few = ids.count() <= FEW_IDS
-    return cut(texts.join(F.broadcast(ids) if few else ids, "d", "left_semi"))
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, for a join: by broadcast while its rows are few, else by a shuffle."""
+    return F.broadcast(df) if df.count() <= FEW_IDS else df
+
+
+def _bodies(texts: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(d, x): a text of each of ``nodes`` (distinct d), written out."""
+    wanted = cut(sigs.select("d", "id", "t").join(nodes, "d"))
+    return cut(texts.join(_few(wanted), ["id", "t"]).select("d", "x").dropDuplicates(["d"]))
 
 
 def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: np.ndarray, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the sequential test and then hold on the full shingle sets."""
     of = lambda c, s: sigs.select(F.col("d").alias(c), F.col("sig").alias(s))
     passed = cut(pairs.join(of("b", "sb"), "b").join(of("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(_prune(least), "a long, b long"))
-    bodies = _bodies(texts, passed.select(F.col("a").alias("d")).union(passed.select("b")).distinct())
+    bodies = _bodies(texts, sigs, passed.select(F.col("a").alias("d")).union(passed.select("b")).distinct())
     both = passed.join(bodies.select(F.col("d").alias("b"), F.col("x").alias("xb")), "b").join(bodies.select(F.col("d").alias("a"), F.col("x").alias("xa")), "a")
     links = cut(both.select("a", "b", "xa", "xb").mapInArrow(_verify(k, percent), "a long, b long").distinct())
     drop_cut(bodies)
@@ -277,17 +281,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of shingles, component the smallest id reachable over links (its own where it has none)."""
     rows = tune(docs).select(id_key(F.col(id_col)).alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("x"))
     sketched = cut(rows.mapInArrow(_sketch(k), "d long, t long, s1 long, s2 long, n long, sig binary"))
-    classes = cut(sketched.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("d").alias("rep")))
-    c = classes.select(F.col("rep").alias("d"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn"))
-    # ids that repeat with several sets keep one signature
-    sigs = cut(sketched.join(c, "d").filter("s1 = c1 and s2 = c2 and n = cn").groupBy("d").agg(F.min("sig").alias("sig")))
-    texts, least = rows.select("d", "x"), least_matches(percent, miss)
-
-    keys = cut(sigs.mapInArrow(_band_keys, "key long, d long"))
+    # a class is read from one of its rows, that of the smallest (id, text hash), whatever other texts the id has
+    classes = cut(sketched.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "t")).alias("r")).select("s1", "s2", "n", F.xxhash64("s1", "s2", "n").alias("node"), F.col("r.d").alias("rep"), F.col("r.t").alias("rt")))
+    c = classes.select(F.col("node"), F.col("rep").alias("d"), F.col("rt").alias("t"))
+    sigs = cut(sketched.filter("n > 0").join(c, ["d", "t"]).groupBy("node").agg(F.min("sig").alias("sig"), F.min("d").alias("id"), F.min("t").alias("t")).withColumnRenamed("node", "d"))
+    texts, least = rows.select(F.col("d").alias("id"), "t", "x"), least_matches(percent, miss)
+    # the sets of one id are linked by it, as a star
+    of_id = sketched.filter("n > 0").select("d", F.xxhash64("s1", "s2", "n").alias("b"))
+    several = cut(of_id.groupBy("d").agg(F.min("b").alias("a"), F.max("b").alias("top")).filter("a < top").select("d", "a"))
+    same_id = cut(of_id.join(_few(several), "d").filter("a <> b").select("a", "b").distinct())
+
+    keys = cut(sigs.select("d", "sig").mapInArrow(_band_keys, "key long, d long"))
     shared = keys.groupBy("key").agg(F.min("d").alias("pivot"), F.max("d").alias("top")).filter("pivot < top").select("key", "pivot")
     members = cut(keys.join(shared, "key").select("key", "pivot", "d"))
     drop_cut(keys)
-    links = _confirm(members.filter("d <> pivot").select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct(), sigs, texts, least, k, percent)
+    links = _confirm(members.filter("d <> pivot").select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct(), sigs, texts, least, k, percent).unionByName(same_id)
     comp = components(sigs.select("d"), links)
 
     # buckets of three and more members (of two, both have met) that links have not joined, each set of members once
@@ -299,12 +307,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # a block meets itself and each later one once: as the left side of (i, j >= i), as the right side of (j < i, i)
         j = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
         dealt = open_.select("key", "d", "comp", "i", j).select("key", "d", "comp", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"))
-        bodies = _bodies(texts, open_.select("d").distinct())
-        crossed = dealt.join(sigs, "d").join(bodies, "d").groupBy("key", "p", "q").applyInPandas(_blocks(least, k, percent), "a long, b long")
+        bodies = _bodies(texts, sigs, open_.select("d").distinct())
+        crossed = dealt.join(sigs.select("d", "sig"), "d").join(bodies, "d").groupBy("key", "p", "q").applyInPandas(_blocks(least, k, percent), "a long, b long")
         comp = components(sigs.select("d"), links.unionByName(cut(crossed.distinct())))
     drop_cut(members)
-    of_class = classes.join(comp.withColumnRenamed("d", "rep"), "rep").select("s1", "s2", "n", "comp")
-    return sketched.select("d", "t", "s1", "s2", "n").join(of_class, ["s1", "s2", "n"], "left").select("d", "t", "n", F.coalesce("comp", "d").alias("component"))
+    of_class = classes.select("s1", "s2", "n", "rep", F.col("node").alias("d")).join(comp, "d")
+    name = of_class.groupBy("comp").agg(F.min("rep").alias("component"))
+    of_class = cut(of_class.join(name, "comp").select("s1", "s2", "n", "component"))
+    return sketched.select("d", "t", "s1", "s2", "n").join(of_class, ["s1", "s2", "n"], "left").select("d", "t", "n", F.coalesce("component", "d").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

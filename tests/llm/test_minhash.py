@@ -108,3 +108,15 @@ def test_blocks_link_what_the_pivot_does_not(make_docs):
     tails = [[f"t{g}_{i}" for i in range(22)] for g in range(4)]
     rows = [(g * 10 + c, " ".join(common + tails[g] + [f"u{g}_{c}_{rng.randint(0, 9)}"])) for g in range(4) for c in range(4)]
     assert found(make_docs(rows), k=2) == brute(rows, 2)
+
+
+def test_every_text_of_an_id_links(make_docs):
+    """Ids that repeat with several texts, null ids too, link by each of their texts and by the id."""
+    text = lambda g: [f"g{g}w{i}" for i in range(40)]
+    near = lambda g: " ".join([*text(g)[:-1], f"other{g}"])
+    rows = [(5, " ".join(text(g))) for g in range(4)] + [(20 + g, near(g)) for g in range(4)]
+    rows += [(None, " ".join(text(g))) for g in range(10, 14)] + [(30 + g, near(g)) for g in range(10, 14)] + [(99, near(50)), (3, "")]
+    rows += [(60 + g, " ".join(text(g))) for g in (60, 61, 60)] + [(50, " ".join(text(60))), (50, near(61)), (3, "two words"), (5, None)]
+    got = found(make_docs(rows), k=2)
+    assert got == brute(rows, 2)
+    assert {c for d, _, c in got if d in range(20, 24)} == {5} and {c for d, _, c in got if d in range(40, 44)} == {NULL_ID}
