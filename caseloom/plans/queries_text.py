@@ -117,6 +117,13 @@ def embedding_shortlist(spark, sf) -> DataFrame:
     return p.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+@query("embedding_shortlist_all")
+def embedding_shortlist_all(spark, sf) -> DataFrame:
+    """All pairs of vectors, whatever their labels, at the reference's bar."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return S.cosine_pairs(e, 0.55).withColumn("cosine", F.round("cosine", 6))
+
+
 _RULES = [("thank", "closing"), ("error", "problem"), ("?", "question"), ("the", "statement")]
 _RULES_SQL = "CASE " + " ".join(f"WHEN contains(lower(text), '{p}') THEN '{l}'" for p, l in _RULES) + " END"
 

@@ -163,6 +163,35 @@ def test_similar(spark):
     assert S.similar_pairs(d.limit(0)).count() == 0
 
 
+def test_shortlist_compares_every_vector(spark):
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    from caseloom.plans import catalogue
+
+    rng = np.random.RandomState(2)
+    rows = [(i, [float(x) for x in rng.randn(6)]) for i in range(90)] + [(90, None), (91, [0.0] * 6), (92, [1.0] * 3), (93, [2.0] * 3), (None, [1.0] * 6)]
+
+    def brute(rows, bar):
+        unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None and v is not None and any(v)}
+        return {(a, b, round(float(unit[a] @ unit[b]), 6)) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= bar}
+
+    d = spark.createDataFrame(rows, "id long, v array<float>")
+    want = brute([(r.id, r.v) for r in d.collect()], 0.55)
+    for block in (16, 24, 50, 1000):  # 6, 4, 2 blocks and 1
+        got = [(r.a, r.b, round(r.cosine, 6)) for r in S.cosine_pairs(d, 0.55, block=block).collect()]
+        assert set(got) == want and len(got) == len(want) and (92, 93, 1.0) in want
+    assert S.cosine_pairs(d.limit(0)).count() == 0
+    sf = "/root/testdata/sf0.1"
+    t = pq.read_table(f"{sf}/embeddings.parquet", columns=["vec_id", "embedding", "label"]).to_pydict()
+    label = dict(zip(t["vec_id"], t["label"]))
+    got = [(r.a, r.b) for r in catalogue.QUERIES["embedding_shortlist_all"](spark, sf).collect()]
+    m = np.array(t["embedding"], float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    want = {tuple(sorted((t["vec_id"][x], t["vec_id"][y]))) for x, y in zip(*np.nonzero(m @ m.T >= 0.55)) if x < y}
+    assert set(got) == want and len(got) == len(want) and any(label[a] != label[b] for a, b in got)
+
+
 def test_proximity(spark):
     log = spark.createDataFrame([("a", day(0)), ("a", day(100)), ("b", day(103, 12)), ("c", day(300)), ("d", None)], "case_id string, ts timestamp")
     pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d")], "a string, b string")
