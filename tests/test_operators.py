@@ -163,6 +163,35 @@ def test_similar(spark):
     assert S.similar_pairs(d.limit(0)).count() == 0
 
 
+def test_prefix_pairs_equal_all_pairs(spark):
+    """Pairs joined by prefix words alone, one word with several, common words, and random texts."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    vocab = "corp corporate corporation retain retainer retainers audit auditor auditing auditors ledger ledgers inv invoice invoices zebra quartz marble".split()
+    texts = ["corp retain", "corporation retainer", "audit auditor", "auditors quartz", "common zebra", "common marble"] + [" ".join(rng.choices(vocab, k=rng.randint(1, 5))) + " common" * (i % 2) for i in range(50)]
+    rows = [(f"{i:03d}", t) for i, t in enumerate(texts)]
+    words = {i: set(t.split()) for i, t in rows}
+    idf = {w: math.log(len(rows) / sum(w in x for x in words.values())) for x in words.values() for w in x}
+
+    def score(a, b):
+        both, used, mass, n = a & b, set(), sum(idf[w] for w in a & b), len(a & b)
+        for p in sorted(a - both, key=lambda w: (len(w), w), reverse=True):
+            fits = [q for q in b - both - used if min(len(p), len(q)) >= 4 and (p.startswith(q) or q.startswith(p))]
+            if fits:
+                q = max(fits, key=lambda w: (len(w), w))
+                used.add(q)
+                mass, n = mass + 0.6 * min(idf[p], idf[q]), n + 1
+        return 2 * mass / (sum(idf[w] for w in a) + sum(idf[w] for w in b)), n
+
+    want = {(a, b): score(words[a], words[b]) for a in words for b in words if a < b}
+    want = {(*k, round(v, 6), n) for k, (v, n) in want.items() if v >= 0.2 and n}
+    got = S.similar_pairs(spark.createDataFrame(rows, "id string, text string"), min_score=0.2, prefix=True).collect()
+    assert {(r.a, r.b, round(r.score, 6), r.n_content) for r in got} == want and len(got) == len(want)
+    assert any(r.a == "000" and r.b == "001" and r.shared_content == "retain~retainer,corp~corporation" for r in got)
+
+
 def test_shortlist_compares_every_vector(spark):
     import numpy as np
     import pyarrow.parquet as pq
