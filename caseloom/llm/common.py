@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
-import gc
-import time
 import uuid
 
 import numpy as np
@@ -19,36 +18,60 @@ NULL_ID = -(2**63)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Folders written by :func:`cut` in this process.
+_CUTS: list[tuple[SparkSession, str]] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one under the warehouse (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder under the warehouse serves a
+    session of one machine; on a cluster it is an error, since other executors may not see the warehouse."""
     given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (given or spark.conf.get("spark.sql.warehouse.dir") + "/_caseloom").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends, any executor may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends, any executor may be lost.
 
+    The shuffle files of the write are deleted as it ends, for nothing else reads them. The folder goes with
+    :func:`drop_cut`, or at the end of the driver's process.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    if not _CUTS:
+        atexit.register(_drop_all)
+    _CUTS.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no plan needs any more. It does so once the driver's JVM has collected their
-    handles, which a driver with little to do puts off; a plan's handles go in the first collection, and those of its
-    shuffles in the second. To be called after a :func:`cut` of much data."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind :func:`cut` once no plan reads them."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        name = f.rsplit("/", 1)[0].rsplit("/", 1)[-1]
+        for known in [c for c in _CUTS if c[1].endswith(name)]:
+            _delete(*known)
+            _CUTS.remove(known)
+
+
+def _drop_all() -> None:
+    for spark, path in _CUTS:
+        if spark.sparkContext._jsc is None:  # stopped
+            continue
+        with contextlib.suppress(Exception):  # the driver is ending; what is left is left
+            _delete(spark, path)
 
 
 def tune(df: DataFrame) -> DataFrame:
