@@ -9,8 +9,11 @@ are sigmoid((latent - cut) / spread) shifted so that the cut maps to ``threshold
 Features: shares of adjacent character-class pairs (16 classes), and repetition, word, line and length figures, all of
 the whole text. Every feature costs a bounded number of numpy passes over a batch's bytes.
 
-Edge cases: null and empty texts have zero features and a defined score; labels that are null or not 0/1 are skipped;
-without labels of both kinds every score is 1 (nothing is rejected); repeated rows repeat; an empty table gives no rows.
+Features of the sample are computed by the executors; no text reaches the driver.
+
+Edge cases: null and empty texts have zero features and a defined score; labels that are null or not 0/1 are skipped,
+and so is an id that has both labels; of rows that repeat an id the sample takes one, by the hash of the text; without
+labels of both kinds every score is 1 (nothing is rejected); repeated rows repeat; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, span_hash, prefix_hash, text_buffer, tune, words
+from .common import batches_of, cut, drop_cut, prefix_hash, span_hash, text_buffer, tune, words
 
 #: Character classes: letters by case, digits, spaces, line ends, frequent punctuation one by one, other bytes.
 CLASSES = np.full(256, 15, np.uint8)
@@ -94,7 +97,8 @@ class Ranking:
     shift: float
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
+        # a sum for each row: a matrix product rounds by the number of rows
+        return (np.clip((x - self.mean) / self.scale, -8, 8) * self.weights).sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((self.latent(x) - self.cut) / self.spread + self.shift, -500, 500)
@@ -130,27 +134,38 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, share_bad: float, threshold: float,
     return Ranking(mean, scale, w, float((below + above) / 2), float(max(1e-3, s.std() / 4)), float(np.log(threshold / (1 - threshold))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, id_col: str, text_col: str, max_per_class: int) -> tuple[pa.Table, dict[int, int]]:
-    """(text and label of a bounded sample on the driver, label counts of all rows kept).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, id_col: str, text_col: str, max_per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """((__id, __x, __y) of a bounded sample, label counts of all rows kept).
 
-    The sample takes ``max_per_class`` ids of each class in order of their hash. Labels are counted in full; only the
-    sample's texts travel.
+    The sample takes ``max_per_class`` ids of each class in order of their hash, one row of each. Labels are counted in
+    full; an id with both labels has none.
     """
-    known = labels.filter(keep & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).dropDuplicates(["__id"])
+    known = labels.filter(keep & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__y"), F.max(F.col(label).cast("int")).alias("__top")).filter("__y = __top").drop("__top")
     counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     parts = [known.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(max_per_class) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__x"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__x"))
     # at most 2 * max_per_class ids
-    return texts.join(F.broadcast(chosen), "__id").orderBy("__id", "__x").select("__x", "__y").toArrow(), counts
+    found = texts.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min(F.struct(F.xxhash64("__x").alias("h"), "__x")).alias("m"), F.min("__y").alias("__y"))
+    return cut(found.select("__id", F.col("m.__x").alias("__x"), "__y")), counts
+
+
+def _styled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches_of(batches, 1.5):
+        x = style(b.column(1))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([row.tobytes() for row in x], pa.binary())], names=["__id", "__y", "f"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, max_per_class: int = 2000) -> Ranking | None:
     """Fit on a sample of labelled rows that ``keep`` lets through; None without both labels."""
-    rows, counts = labelled_sample(docs, labels, label, F.lit(True) if keep is None else keep, id_col, text_col, max_per_class)
+    sample, counts = labelled_sample(docs, labels, label, F.lit(True) if keep is None else keep, id_col, text_col, max_per_class)
+    kind = sample.schema["__id"].dataType.simpleString()
+    # N_FEATURES numbers for each of 2 * max_per_class rows
+    rows = sample.mapInArrow(_styled, f"__id {kind}, __y int, f binary").orderBy("__id").toArrow()
+    drop_cut(sample)
     if rows.num_rows == 0:
         return None
-    x = np.concatenate([style(b.column(0)) for b in batches_of(rows.to_batches(), 1.5)])
+    x = np.frombuffer(b"".join(rows.column(2).to_pylist()), float).reshape(rows.num_rows, N_FEATURES)
     y = rows.column(1).to_numpy()
     return fit_pairs(x, y, counts.get(0, 0) / max(1, sum(counts.values())), threshold)
 

@@ -8,8 +8,11 @@ voter's evidence is divided by one plus its positive correlations, so that voter
 A logistic regression on hashed n-grams is then trained on the posterior labels, and alone scores documents. An n-gram's
 value is its share of the words, full from one in ``DENSE`` on: what a long text holds by chance counts little.
 
+N-grams of the sample are counted, and its votes taken, by the executors; no text reaches the driver.
+
 Edge cases: null and empty texts score the classifier's bias; without labels of both kinds every score is 0; labels
-that are null or not 0/1 are skipped; repeated rows repeat; an empty table gives no rows.
+that are null or not 0/1 are skipped, and so is an id that has both; of rows that repeat an id the sample takes one;
+repeated rows repeat; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, batches_of, text_buffer, tune, words
+from .common import LOWER, SPACE, batches_of, drop_cut, text_buffer, tune, words
 from .quality import labelled_sample
 
 BITS = 20
@@ -67,16 +70,31 @@ def present(col: pa.Array, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return d, pairs & ((1 << BITS) - 1), np.minimum(1.0, count * DENSE / n_words[d])
 
 
-def mine(cols: list[pa.Array], ys: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets whose values tell the classes apart best, best first, by the root of their likelihood ratio; log-odds of all)."""
-    has = np.zeros((2, 1 << BITS))
+#: Values are summed as whole numbers of this part, so that sums do not depend on their order.
+UNIT = 1 << 20
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, label, summed value) of a task's sample rows."""
     everything = np.arange(1 << BITS, dtype=np.int32)
-    for col, y in zip(cols, ys):
-        d, f, x = present(col, everything)
-        for c in (0, 1):
-            of = y[d] == c
-            has[c] += np.bincount(f[of], x[of], minlength=1 << BITS)
-    n = [max(1, sum(int((y == c).sum()) for y in ys)) for c in (0, 1)]
+    has = np.zeros((2, 1 << BITS), np.int64)
+    for b in batches_of(batches, 1.5):
+        y = b.column(2).to_numpy(zero_copy_only=False)
+        d, f, x = present(b.column(1), everything)
+        np.add.at(has, (y[d], f), np.rint(x * UNIT).astype(np.int64))
+    for c in (0, 1):
+        some = np.flatnonzero(has[c])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), c, np.int32)), pa.array(has[c][some])], names=["bucket", "y", "x"])
+
+
+def mine(sample: DataFrame, n: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets whose values tell the classes apart best, best first, by the root of their likelihood ratio; log-odds of all).
+
+    ``n``: sample rows of each class. At most one number for each bucket and class comes to the driver.
+    """
+    sums = sample.mapInArrow(_counted, "bucket long, y int, x long").groupBy("bucket", "y").agg(F.sum("x").alias("x")).toArrow()
+    has = np.zeros((2, 1 << BITS))
+    has[sums.column(1).to_numpy(), sums.column(0).to_numpy()] = sums.column(2).to_numpy() / UNIT
     odds = np.log((has[1] + 0.5) / (n[1] + 1)) - np.log((has[0] + 0.5) / (n[0] + 1))
     share, twice = has.sum(axis=0) / sum(n), np.zeros(1 << BITS)
     for c in (0, 1):
@@ -131,28 +149,46 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _seen(sent):
+    """Sample rows to (id, label, features, values, votes), each a packed array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches, 1.5):
+            d, f, x = present(b.column(1), sent.value)
+            cuts = np.searchsorted(d, np.arange(b.num_rows + 1))
+            spoken = votes([t or "" for t in b.column(1).to_pylist()])
+            pack = lambda v: pa.array([v[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pack(f.astype(np.int32)), pack(x), pa.array([r.tobytes() for r in spoken], pa.binary())], names=["__id", "__y", "f", "x", "v"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_per_class: int = 3000, n_voters: int = 256, n_features: int = 4096) -> Classifier | None:
     """Fit on a sample of labelled rows that ``keep`` lets through; None without both labels."""
-    rows, counts = labelled_sample(docs, labels, label, F.lit(True) if keep is None else keep, id_col, text_col, max_per_class)
-    y = rows.column(1).to_numpy()
-    if not (y == 0).any() or not (y == 1).any():
+    sample, counts = labelled_sample(docs, labels, label, F.lit(True) if keep is None else keep, id_col, text_col, max_per_class)
+    by = {r["__y"]: r["count"] for r in sample.groupBy("__y").count().collect()}
+    if len(by) < 2:
+        drop_cut(sample)
         return None
-    parts = list(batches_of(rows.to_batches(), 1.5))
-    cols, ys = [b.column(0) for b in parts], [b.column(1).to_numpy() for b in parts]
-    best, odds = mine(cols, ys, n_features)
+    best, odds = mine(sample, [by[0], by[1]], n_features)
     slot = np.full(1 << BITS, -1, np.int32)
     slot[best] = np.arange(len(best))
-    base = np.cumsum([0, *map(len, cols)])
-    pairs = [present(c, slot) for c in cols]
-    r = np.concatenate([p[0] + base[i] for i, p in enumerate(pairs)]).astype(np.int64)
-    f, x = (np.concatenate([p[j] for p in pairs]) for j in (1, 2))
+    kind = sample.schema["__id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(slot)
+    # n_features numbers at most for each of 2 * max_per_class rows
+    rows = sample.mapInArrow(_seen(sent), f"__id {kind}, __y int, f binary, x binary, v binary").orderBy("__id").toArrow()
+    drop_cut(sample)
+    y = rows.column(1).to_numpy()
+    fs, xs, said = (rows.column(i).to_pylist() for i in (2, 3, 4))
+    f, x = np.frombuffer(b"".join(fs), np.int32).astype(np.int64), np.frombuffer(b"".join(xs), float)
+    r = np.repeat(np.arange(len(y)), [len(v) // 4 for v in fs])
     voter = np.flatnonzero(odds[best] > 0)[:n_voters]  # signs of toxicity vote; the others only help the classifier
     seat = np.full(len(best) + 1, -1)
     seat[voter] = np.arange(len(voter))
     mined = np.zeros((len(y), len(voter)), bool)
     on = (seat[f] >= 0) & (x >= 0.5)
     mined[r[on], seat[f[on]]] = True
-    spoken = votes([t or "" for c in cols for t in c.to_pylist()])
+    spoken = np.frombuffer(b"".join(said), bool).reshape(len(y), -1)
     v = np.concatenate([spoken, mined], axis=1)
     v = np.concatenate([v, ~v.any(axis=1, keepdims=True)], axis=1)  # one voter for clean: nothing was found
     total = sum(counts.values())

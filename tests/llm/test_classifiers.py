@@ -41,6 +41,24 @@ def test_odd_rows_and_labels(spark, make_docs, odd_rows, op, label, blank):
     assert op.score(make_docs([]), op.train(make_docs([]), labels, label)).count() == 0
 
 
+def test_ids_with_both_labels_and_several_texts(spark, make_docs):
+    """An id with both labels has none; of an id's rows one is in the sample."""
+    docs = make_docs([(1, "a"), (1, "b"), (2, "c"), (3, None), (3, "d"), (4, "e")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (3, 0), (9, 1)], "doc_id long, quality int")
+    from pyspark.sql import functions as F
+
+    sample, counts = quality.labelled_sample(docs, labels, "quality", F.lit(True), "doc_id", "text", 10)
+    rows = sorted((r["__id"], r["__y"]) for r in sample.collect())
+    assert rows == [(1, 1), (3, 0)] and counts == {1: 2, 0: 1}
+
+
+def test_scores_do_not_depend_on_their_batch():
+    rng = np.random.RandomState(3)
+    m = quality.Ranking(rng.randn(264), np.abs(rng.randn(264)) + 0.1, rng.randn(264), 0.1, 0.5, 0.0)
+    x = rng.randn(500, 264)
+    assert np.array_equal(m.score(x), np.concatenate([m.score(r[None]) for r in x]))
+
+
 def test_label_model_finds_accuracies():
     """Posteriors follow good voters, not noise, and voters that repeat each other count about once."""
     rng = np.random.RandomState(0)
