@@ -2,9 +2,10 @@
 
 Plan: every text is split into lines; lines of enough code points become (hash, document, position) rows. The rows
 are dealt by *range* of (hash, document descending), so one hot line spreads over as many tasks as its rows need, and
-are sorted within tasks. A task streams its runs: the first document of a run is the keeper (the largest id), the
-others lose the line once the run has seen ``min_docs`` documents. Only a task's first and last run can go on in its
-neighbours; rows of these two are left open and settled by a join with one summary row per task edge (two a task).
+are sorted within tasks. A task streams its runs: the first document of a run is the keeper (the largest id) and loses
+nothing, the others lose the line once the run has seen ``min_docs`` documents. Only a task's first and last run can go
+on in its neighbours; rows of these two are left open and settled by a join with one summary row per task edge (two a
+task). So are those of a run that would have a task hold more than ``HELD`` rows: few documents that repeat a line often.
 The result is one compressed keep bitmap per document that loses lines; texts never travel with the hashes.
 
 Edge cases: a null or empty text is one empty line; a null id counts as one id below all others; rows that repeat an
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, cut, id_key, positional, texts_of, tune
 
+#: Rows of one run that a task holds before it knows the number of documents.
+HELD = 10_000
 BLANK = b" \t\n\x0b\x0c\r"
 _LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("nl", pa.int32())])
 _SEEN = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("nl", pa.int32()), ("n", pa.int64())])
@@ -52,13 +55,14 @@ def _hashed_lines(min_chars: int):
     return run
 
 
-def _stream(min_docs: int):
-    """Sorted rows in, decisions out. kind 0: dropped; 1: open (edge run); 2: summary of an edge run (n documents, d the largest)."""
+def _stream(min_docs: int, hold: int = HELD):
+    """Sorted rows in, decisions out. kind 0: dropped; 1: open; 2: summary of an open run (n documents, d the largest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        key = None
-        first_run, keeper, last, docs, held = True, None, None, 0, []
+        held: list[tuple] = []
+        key = keeper = last = None
+        docs, first_run, open_run = 0, True, True
 
         def flush():
             cols = list(zip(*out)) or [()] * 8
@@ -68,7 +72,7 @@ def _stream(min_docs: int):
         def close(at_end: bool) -> None:
             if key is None:
                 return
-            if first_run or at_end:
+            if at_end or open_run:
                 out.extend((1, *r, 0) for r in held)
                 out.append((2, *key, keeper, 0, 0, 0, docs))
             held.clear()
@@ -79,19 +83,24 @@ def _stream(min_docs: int):
                     if key is not None:
                         close(False)
                         first_run = False
-                    key, keeper, last, docs = (h1, h2), d, d, 1
+                    key, keeper, last, docs, open_run = (h1, h2), d, d, 1, first_run
                 elif d != last:
                     last, docs = d, docs + 1
                 row = (h1, h2, d, t, pos, nl)
                 if first_run:  # may go on from the task before: nothing is known yet
                     out.append((1, *row, 0))
-                elif docs < min_docs:
-                    held.append(row)
+                elif d == keeper:
+                    continue
+                elif docs >= min_docs:
+                    out.extend((0, *r, 0) for r in held)
+                    held.clear()
+                    out.append((0, *row, 0))
                 else:
-                    if held:
-                        out.extend((0, *r, 0) for r in held if r[2] != keeper)
+                    held.append(row)
+                    if len(held) >= hold:
+                        open_run = True
+                        out.extend((1, *r, 0) for r in held)
                         held.clear()
-                    out.append((0, *row, 0))
                 if len(out) >= 20000:
                     yield flush()
         close(True)
@@ -100,7 +109,7 @@ def _stream(min_docs: int):
     return run
 
 
-def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, hold: int = HELD) -> DataFrame:
     """One row per document that loses lines: (d, t, n_lines, n_dropped, keep), ``keep`` a zlib-packed bitmap, bit i for line i.
 
     ``d`` is the id with null as the smallest bigint, ``t`` is xxhash64 of the text: together the key for :func:`keep_lines`.
@@ -108,10 +117,10 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = tune(docs).select(id_key(F.col(id_col)).alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("x"))
     lines = rows.mapInArrow(_hashed_lines(min_chars), "h1 long, h2 long, d long, t long, pos int, nl int")
     dealt = lines.repartitionByRange("h1", "h2", F.desc("d")).sortWithinPartitions("h1", "h2", F.desc("d"), "t", "pos")
-    seen = cut(dealt.mapInArrow(_stream(min_docs), "kind byte, h1 long, h2 long, d long, t long, pos int, nl int, n long"))
-    # two rows a task at most: small whatever the input
+    seen = cut(dealt.mapInArrow(_stream(min_docs, hold), "kind byte, h1 long, h2 long, d long, t long, pos int, nl int, n long"))
+    # one row for each open run: two a task, and one for every ``hold`` rows at most; Spark broadcasts it by its size
     edges = seen.filter("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("d").alias("keeper"))
-    opened = seen.filter("kind = 1").join(F.broadcast(edges.filter(F.col("docs") >= min_docs)), ["h1", "h2"]).filter("d < keeper")
+    opened = seen.filter("kind = 1").join(edges.filter(F.col("docs") >= min_docs), ["h1", "h2"]).filter("d < keeper")
     gone = seen.filter("kind = 0").select("d", "t", "pos", "nl").unionByName(opened.select("d", "t", "pos", "nl"))
     each = gone.groupBy("d", "t").agg(F.max("nl").alias("n_lines"), F.collect_set("pos").alias("p"))
     return each.mapInArrow(_packed, "d long, t long, n_lines int, n_dropped int, keep binary")
@@ -129,7 +138,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in batches_of(batches, 4):
         names = b.schema.names
         x, k = b.column(names.index("__text")), b.column(names.index("__keep")).to_pylist()
         kept, n_lines, n_dropped = [], [], []

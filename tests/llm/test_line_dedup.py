@@ -35,6 +35,21 @@ def test_random_lines(make_docs):
     assert found(make_docs(rows)) == brute(rows)
 
 
+def test_any_number_of_documents(make_docs):
+    rng = random.Random(4)
+    pool = ["line %d " % i * 8 for i in range(9)] + ["short"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    for min_docs in (1, 2, 3, 50):
+        assert found(make_docs(rows), min_docs=min_docs) == brute(rows, min_docs=min_docs)
+
+
+def test_few_documents_that_repeat_a_line(spark, make_docs):
+    lines = [f"{c} is a line of some forty characters, at least" for c in "abcdef"]
+    rows = [(i, "\n".join([lines[i % 6], *[lines[j] for j in range(6) if (i + j) % 2] * 30])) for i in range(9)] + [(20, lines[0])]
+    for min_docs in (2, 5):
+        assert found(make_docs(rows), min_docs=min_docs, hold=7) == brute(rows, min_docs=min_docs)
+
+
 def test_odd_rows(make_docs, odd_rows):
     rows = [r[:2] for r in odd_rows]
     assert found(make_docs(rows, clashing=True)) == brute(rows)
