@@ -1,7 +1,8 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
-1. Rows of one shingle set form a class (hashed set): copies are linked by the class and never meet in pairs. A class is
-   a node of its own, named by a hash of its set; document ids play no part until components are named.
+1. Rows of one shingle set form a class: copies are linked by the class and never meet in pairs. Sets are the same if a
+   128-bit BLAKE2 digest of the whole set, its shingles in order, is; a class is a node of its own, named by a hash of
+   that digest, and document ids play no part until components are named.
 2. Classes get ``bands * rows`` minhashes of their shingles; equal bands make candidates. Every bucket is
    reduced to its smallest node with partial aggregation, and its members are compared with that pivot only: a bucket of
    m members gives m - 1 pairs, not m squared.
@@ -9,8 +10,10 @@
    after m of n agreements is Beta(m + 1, n - m + 1); a pair is pruned as soon as the chance that its similarity
    reaches the threshold is below ``miss``. Survivors are verified exactly on their full shingle sets.
 4. Confirmed links give components. Buckets whose members are then still in several components are compared in blocks,
-   inside workers, every member with the members of other components (pruned and verified as above, on the spot): so
-   no link between candidates is lost, no pairs are written, and groups that the pivots have joined cost nothing more.
+   inside workers, every member with the members of other components: once by signatures alone, which says who has a
+   partner left at all, and then those, pruned and verified as above, on the spot, with their texts. So no link between
+   candidates is lost, no pairs are written, groups that the pivots have joined cost nothing more, and texts travel only
+   where signatures allow a link.
 
 Banding misses a pair of similarity 0.8 with chance (1 - 0.8**5)**32 < 4e-6, and pruning one with chance ``miss`` a
 batch at most. There is no cap on buckets, partners or candidates. Signatures and texts meet by joins on nodes.
@@ -24,6 +27,7 @@ columns are not read, and :func:`drop_near_duplicates` passes them on whatever t
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -37,8 +41,8 @@ from .common import LOWER, batches_of, cut, drop_cut, id_key, mix64, positional,
 
 BANDS, ROWS = 32, 5
 BLOCK = 512
-#: Ids that may be broadcast (16 MB); more are joined by a shuffle.
-FEW_IDS = 1_000_000
+#: Rounds after which stars that still move are an error; they settle in about the logarithm of the longest chain.
+MAX_ROUNDS = 64
 
 
 def shingle_hashes(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +74,11 @@ def shingle_set(text: bytes, k: int) -> set[bytes]:
     return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
 
 
+def set_digest(grams: set[bytes]) -> bytes:
+    """16 bytes that stand for the whole set; shingles hold no line end, so the joint text is the set's own."""
+    return hashlib.blake2b(b"\n".join(sorted(grams)), digest_size=16).digest()
+
+
 def similar(a: set, b: set, percent: int) -> bool:
     both = len(a & b)
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
@@ -91,7 +100,7 @@ def signature(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sketch(k: int):
-    """(d, row hash of the set in two longs, number of shingles, signature): one pass over the texts."""
+    """(d, t, digest of the set in two longs, number of shingles, signature): one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations()
@@ -100,17 +109,20 @@ def _sketch(k: int):
             h, d = shingle_hashes(data, off, k)
             n = batch.num_rows
             cuts = np.searchsorted(d, np.arange(n + 1))
-            sizes, s1, s2, sigs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), []
+            raw, o = data.tobytes(), off.tolist()
+            sizes, digests, sigs = np.zeros(n, np.int64), [], []
             for i in range(n):
                 u = np.unique(h[cuts[i] : cuts[i + 1]])
-                sizes[i] = len(u)
                 if len(u):
-                    s1[i] = np.bitwise_xor.reduce(mix64(u.copy())).astype(np.int64)
-                    s2[i] = (mix64(u + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)).astype(np.int64)
+                    grams = shingle_set(raw[o[i] : o[i + 1]], k)
+                    sizes[i] = len(grams)
+                    digests.append(set_digest(grams))
                     sigs.append(signature(u, a, b).tobytes())
                 else:
+                    digests.append(bytes(16))
                     sigs.append(b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s1), pa.array(s2), pa.array(sizes), pa.array(sigs, pa.binary())], names=["d", "t", "s1", "s2", "n", "sig"])
+            s = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(sizes), pa.array(sigs, pa.binary())], names=["d", "t", "s1", "s2", "n", "sig"])
 
     return run
 
@@ -184,6 +196,41 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of the left block, of the right one, signatures, components as numbers); a block alone is both sides."""
+    left, right = (np.flatnonzero(pdf.side.to_numpy() == i) for i in (0, 1))
+    sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(len(pdf), -1)
+    _, comp = np.unique(pdf.comp.to_numpy(), return_inverse=True)
+    return left, right, sig, comp
+
+
+def _hopeful(least: np.ndarray):
+    """Members of one bucket's block pair that the sequential test leaves a partner of another component: (key, d)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, sig, comp = _sides(pdf)
+        has = np.zeros(len(pdf), bool)
+        for at, i in enumerate(left.tolist()):
+            j = right if len(right) else left[at + 1 :]
+            j = j[(comp[j] != comp[i]) & ~(has[i] & has[j])]
+            j = j[survive(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], least)] if len(j) else j
+            if len(j):
+                has[i] = True
+                has[j] = True
+        return pdf.loc[has, ["key", "d"]]
+
+    return run
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """(key, d, comp) to (key, d, comp, p, q, side): blocks of about BLOCK members of a bucket, each with itself and each later one."""
+    size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(size, "key").withColumn("i", F.pmod(F.xxhash64("d", F.lit(2)), F.col("blocks")).cast("int"))
+    # as the left side of (i, j >= i), as the right side of (j < i, i)
+    j = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
+    return placed.select("key", "d", "comp", "i", j).select("key", "d", "comp", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"))
+
+
 def _blocks(least: np.ndarray, k: int, percent: int):
     """Members of one bucket's block pair: links between components, tested in sequence and then on the full sets.
 
@@ -191,14 +238,8 @@ def _blocks(least: np.ndarray, k: int, percent: int):
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = np.flatnonzero(pdf.side.to_numpy() == 0)
-        right = np.flatnonzero(pdf.side.to_numpy() == 1)
-        alone = not len(right)
-        right = left if alone else right
+        left, right, sig, comp = _sides(pdf)
         d, texts = pdf.d.to_numpy(), pdf.x.tolist()
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(len(pdf), -1)
-        _, comp = np.unique(pdf.comp.to_numpy(), return_inverse=True)
-        comp = comp.copy()
         vocabulary: dict[bytes, int] = {}
         sets: dict[int, np.ndarray] = {}
 
@@ -210,7 +251,7 @@ def _blocks(least: np.ndarray, k: int, percent: int):
 
         out = []
         for at, i in enumerate(left.tolist()):
-            j = right[at + 1 :] if alone else right
+            j = right if len(right) else left[at + 1 :]
             j = j[comp[j] != comp[i]]
             j = j[survive(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], least)] if len(j) else j
             if not len(j):
@@ -238,7 +279,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     written to the shared folder.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    while True:
+    for _ in range(MAX_ROUNDS):
         # large star: every neighbour above u points to the least of u and its neighbours
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -248,21 +289,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = cut(small.filter("u <> v").distinct())
         same = new.count() == e.count() and new.join(e, ["u", "v"], "left_anti").isEmpty()
+        drop_cut(e)
         e = new
         if same:
-            break
-    return nodes.join(e.select(F.col("u").alias("d"), F.col("v").alias("comp")), "d", "left").select("d", F.coalesce("comp", "d").alias("comp"))
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """``df``, for a join: by broadcast while its rows are few, else by a shuffle."""
-    return F.broadcast(df) if df.count() <= FEW_IDS else df
+            return nodes.join(e.select(F.col("u").alias("d"), F.col("v").alias("comp")), "d", "left").select("d", F.coalesce("comp", "d").alias("comp"))
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def _bodies(texts: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(d, x): a text of each of ``nodes`` (distinct d), written out."""
     wanted = cut(sigs.select("d", "id", "t").join(nodes, "d"))
-    return cut(texts.join(_few(wanted), ["id", "t"]).select("d", "x").dropDuplicates(["d"]))
+    return cut(texts.join(wanted, ["id", "t"]).select("d", "x").dropDuplicates(["d"]))
 
 
 def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -289,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the sets of one id are linked by it, as a star
     of_id = sketched.filter("n > 0").select("d", F.xxhash64("s1", "s2", "n").alias("b"))
     several = cut(of_id.groupBy("d").agg(F.min("b").alias("a"), F.max("b").alias("top")).filter("a < top").select("d", "a"))
-    same_id = cut(of_id.join(_few(several), "d").filter("a <> b").select("a", "b").distinct())
+    same_id = cut(of_id.join(several, "d").filter("a <> b").select("a", "b").distinct())
 
     keys = cut(sigs.select("d", "sig").mapInArrow(_band_keys, "key long, d long"))
     shared = keys.groupBy("key").agg(F.min("d").alias("pivot"), F.max("d").alias("top")).filter("pivot < top").select("key", "pivot")
@@ -301,14 +338,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets of three and more members (of two, both have met) that links have not joined, each set of members once
     mixed = members.join(comp, "d")
     apart = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.shiftright(F.xxhash64("d"), 20)).alias("h1"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("h2")).filter("lo < hi and size > 2")
-    once = apart.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_ = cut(mixed.join(once, "key").select("key", "d", "comp", F.pmod(F.xxhash64("d", F.lit(2)), F.col("blocks")).cast("int").alias("i"), "blocks"))
-    if not open_.isEmpty():
-        # a block meets itself and each later one once: as the left side of (i, j >= i), as the right side of (j < i, i)
-        j = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
-        dealt = open_.select("key", "d", "comp", "i", j).select("key", "d", "comp", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"))
-        bodies = _bodies(texts, sigs, open_.select("d").distinct())
-        crossed = dealt.join(sigs.select("d", "sig"), "d").join(bodies, "d").groupBy("key", "p", "q").applyInPandas(_blocks(least, k, percent), "a long, b long")
+    once = apart.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    open_ = cut(mixed.join(once, "key").select("key", "d", "comp"))
+    of_sig = sigs.select("d", "sig")
+    hopeful = cut(_dealt(open_).join(of_sig, "d").groupBy("key", "p", "q").applyInPandas(_hopeful(least), "key long, d long").distinct())
+    if not hopeful.isEmpty():
+        bodies = _bodies(texts, sigs, hopeful.select("d").distinct())
+        crossed = _dealt(open_.join(hopeful, ["key", "d"])).join(of_sig, "d").join(bodies, "d").groupBy("key", "p", "q").applyInPandas(_blocks(least, k, percent), "a long, b long")
         comp = components(sigs.select("d"), links.unionByName(cut(crossed.distinct())))
     drop_cut(members)
     of_class = classes.select("s1", "s2", "n", "rep", F.col("node").alias("d")).join(comp, "d")
