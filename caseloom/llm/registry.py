@@ -94,10 +94,13 @@ c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, (sum(source_size) OVER ())::DO
 v AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM c),
 t AS (SELECT source, source_size, least(cap, max(lv) OVER () * w) AS target FROM v),
-q AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)))::BIGINT AS taken
-FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source"""
+q AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+-- one queue over all sources: packets of at most 512 words in order of finish time, each with the words served before it
+k AS (SELECT *, unnest(range(1, (size + 511) // 512 + 1)) AS j FROM q, (VALUES (0), (1)) x(n) WHERE target > 0 AND size > 0),
+p AS (SELECT doc_id, source, n, j, least(size, 512 * j) - 512 * (j - 1) AS words, (start + source_size * n + least(size, 512 * j))::DOUBLE / target AS f FROM k),
+o AS (SELECT doc_id, words, coalesce(sum(words) OVER (ORDER BY f, source NULLS LAST, doc_id, n, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+g AS (SELECT doc_id, sum(greatest(0, least(words, (SELECT floor(sum(target) + 1e-6) FROM t) - before))) AS taken FROM o GROUP BY doc_id)
+SELECT q.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN g ON q.doc_id = g.doc_id"""
 
 OP6_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
