@@ -2,11 +2,22 @@ import random
 import re
 import zlib
 
+import xxhash
+
 from caseloom.llm import winnow
 
 
+def tokens_of(text):
+    """Runs of 24 characters at most; of longer ones, and of unspaced scripts, every character."""
+    out = []
+    for run in re.findall(r"[^ \t\n\x0b\x0c\r]+", text):
+        for part in re.findall(f"[{winnow.UNSPACED}]|[^{winnow.UNSPACED}]+", run):
+            out += [part] if len(part) <= 24 else list(part)
+    return out
+
+
 def brute(text, k=winnow.K, w=winnow.W):
-    tokens = [zlib.crc32(x.encode()) % winnow.PRIME + 1 for x in re.findall(r"[^\x20\x09-\x0D]{1,12}", text or "")]
+    tokens = [zlib.crc32(x.encode()) % winnow.PRIME + 1 for x in tokens_of(text or "")]
     spans = [tokens[i : i + k] for i in range(len(tokens) - k + 1)] or ([tokens] if tokens else [])
     grams = []
     for s in spans:
@@ -33,7 +44,8 @@ def like(a, b):
 
 def compare(rows, docs):
     got = winnow.compare_edits(docs).collect()
-    ring = sorted(rows, key=lambda r: (-(-(2**63) if r[0] is None else r[0]), (r[1] or "").encode()))
+    signed = lambda t: (h := xxhash.xxh64_intdigest((t or "").encode(), 42)) - (h >> 63 << 64)
+    ring = sorted(rows, key=lambda r: (-(-(2**63) if r[0] is None else r[0]), signed(r[1]), (r[1] or "").encode()))
     want = []
     for i, (d, t) in enumerate(ring):
         t, nxt = t or "", ring[(i + 1) % len(ring)][1] or ""
@@ -57,16 +69,21 @@ def test_odd_rows(make_docs, odd_rows):
 
 
 def test_ranges_join_up(make_docs):
-    rows = [(i, f"text {i} " * (i % 5)) for i in range(40)]
-    docs = make_docs(rows)
-    plain = {r["id"]: r["edited"] for r in winnow.compare_edits(docs).collect()}
-    df, inside, follow = winnow.neighbours(docs, "doc_id", "text", rows_each=6)
-    assert df.select("bucket").distinct().count() > 3 and follow.count() == df.select("bucket").distinct().count()
-    from pyspark.sql import functions as F
-
-    joined = df.withColumn("n", F.lead("x").over(inside)).join(follow, "bucket").withColumn("n", F.coalesce("n", "head")).collect()
-    text = dict(rows)
-    assert all(r["n"] == text[(r["d"] - 1) % 40] for r in joined) and len(joined) == len(plain) == 40
+    rows = [(i, f"text {i} " * (i % 5)) for i in range(40)] + [(None, f"no id {i}") for i in range(60)]
+    df, _ = winnow.with_guests(make_docs(rows), "doc_id", "text")
+    many = df.collect()
+    assert len({r["bucket"] for r in many}) > 5 and sum(r["guest"] for r in many) == len({r["bucket"] for r in many})
+    assert len({r["bucket"] for r in many if r["id"] is None and not r["guest"]}) > 3  # a hot id spreads
+    compare(rows, make_docs(rows))
+
+
+def test_what_stands_before_moves_no_token(make_docs):
+    """One more character before a long text without spaces leaves most of its hashes."""
+    rng = random.Random(2)
+    han, code = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(900)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(900))
+    for text in (han, code):
+        a, b = [{h for h, _ in unpack(r["fp"])} for r in winnow.fingerprint(make_docs([(1, text), (2, "x" + text)]), "text", "fp").select("fp").collect()]
+        assert len(a & b) / len(a | b) > 0.95
 
 
 def test_guarantee(make_docs):
