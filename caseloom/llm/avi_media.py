@@ -12,8 +12,11 @@ Reading. :func:`parse_avi` follows the RIFF lists to ``avih``, ``strd`` and ``id
 sequential JPEG by table lookup. Pixels are the inverse DCT of the dequantised coefficients. :func:`shots` cuts where the
 difference of two frames' histograms is beyond mean + 3 deviations of the differences in the current shot.
 
-Edge cases: a null or empty payload is 64 zero bytes; nulls in a media column, and bytes that are no RIFF file, give no
-clips and null features; a stream of one frame is one clip; repeated rows repeat; an empty table gives no rows; no other columns are read.
+Edge cases: a null or empty payload is 64 zero bytes. No file ends the job: a null, bytes that are no AVI file, a file
+that is cut off or damaged, and frames that are no baseline JPEG with its own tables or have over ``MAX_PIXELS`` give null
+features, no clips, and the reason in a column of its own. A file of another writer has shots and clips but no payload. A
+stream of one frame is one clip, one without frames none; repeated rows repeat; an empty table gives no rows; no other
+columns are read.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ BLOCKS, UNIT = SIDE * SIDE, 64
 FRAME_BYTES = BLOCKS * UNIT
 FPS = 25
 BINS = 16
+#: Larger frames are refused: a damaged header must not claim gigabytes.
+MAX_PIXELS = 1 << 26
 ZIGZAG = np.array([0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63])
 
 
@@ -137,6 +142,8 @@ def parse_avi(data: bytes) -> Avi:
         # offsets count from the list's type, or from the file's start in some writers
         base = 0 if entries and entries[0][2] > movi and data[entries[0][2] : entries[0][2] + 4] == entries[0][0] else movi
         walked = [(base + off + 8, n) for _, _, off, n in entries]
+    if any(a + n > len(data) for a, n in walked):
+        raise ValueError("a frame lies beyond the file's end")
     return Avi(us, size, [data[a : a + n] for a, n in walked])
 
 
@@ -202,6 +209,8 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
                 body = body[65 + 64 * wide :]
         elif marker in (0xC0, 0xC1):
             h, w = struct.unpack_from(">HH", body, 1)
+            if not 0 < h * w <= MAX_PIXELS:
+                raise ValueError("no frame size")
             comps = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])}
         elif marker == 0xC4:
             while body:
@@ -327,6 +336,31 @@ def shots(hist: np.ndarray, floor: float = 0.05, sigmas: float = 3.0) -> list[tu
 _STORE = "n_bytes long, media binary"
 
 
+@dataclass
+class Film:
+    """What a media value holds: its frames, payload units where it has this module's layout, histograms and shots."""
+
+    avi: Avi
+    units: np.ndarray | None
+    hist: np.ndarray
+    parts: list[tuple[int, int]]
+
+
+def open_film(data: bytes | None) -> tuple[Film | None, str | None]:
+    """(film, None), or (None, reason)."""
+    if data is None:
+        return None, "null"
+    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+        return None, "not an AVI file"
+    try:
+        avi = parse_avi(data)
+        units = decode_own(avi.frames) if avi.frames else None
+        hist = histograms(avi.frames, units)
+        return Film(avi, units, hist, shots(hist)), None
+    except (ValueError, LookupError, TypeError, ArithmeticError, struct.error) as e:
+        return None, f"damaged: {type(e).__name__}"
+
+
 def _each(df: DataFrame, col: str, keep: list[str], ddl: str, make) -> DataFrame:
     """Map rows to rows over Arrow batches: ``make(values)`` gives one list per new column."""
     narrow = tune(df).select(*keep, col)
@@ -361,29 +395,25 @@ def read_media(media: DataFrame, media_col: str = "media", keep: tuple[str, ...]
     """``keep`` columns, the payload's size, digests and features as read back from the stored bytes.
 
     feature: frames, shots as first-end ranges, and each shot's mean histogram in hex (one digit a bin, share * 15).
+    reason: why there is no feature or payload, else null.
     """
 
+    def row(m: bytes | None) -> tuple:
+        film, reason = open_film(m)
+        size, digest = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+        if film is None:
+            return None, None, None, size, digest, None, reason
+        shade = ["".join(f"{int(x * 15 + 0.5):x}" for x in film.hist[a:b].mean(axis=0)) for a, b in film.parts]
+        feature = f"frames={len(film.avi.frames)};us={film.avi.us_per_frame};" + ";".join(f"{a}-{b}:{s}" for (a, b), s in zip(film.parts, shade))
+        if film.units is None or film.avi.size is None:
+            return None, None, None, size, digest, feature, "no payload"
+        payload = film.units.tobytes()[: film.avi.size]
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), size, digest, feature, None
+
     def make(col: pa.Array) -> list[list]:
-        out: list[list] = [[] for _ in range(6)]
-        for m in col.to_pylist():
-            if m is None or m[:4] != b"RIFF":
-                for o in out:
-                    o.append(None)
-                continue
-            avi = parse_avi(m)
-            units = decode_own(avi.frames)
-            if units is None:
-                raise ValueError("the file holds no payload")
-            payload = units.tobytes()[: avi.size]
-            hist = histograms(avi.frames, units)
-            parts = shots(hist)
-            shade = ["".join(f"{int(x * 15 + 0.5):x}" for x in hist[a:b].mean(axis=0)) for a, b in parts]
-            feature = f"frames={len(avi.frames)};us={avi.us_per_frame};" + ";".join(f"{a}-{b}:{s}" for (a, b), s in zip(parts, shade))
-            for o, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature)):
-                o.append(v)
-        return out
-
-    return _each(media, media_col, list(keep), "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", make)
+        return list(map(list, zip(*(row(m) for m in col.to_pylist())))) or [[] for _ in range(7)]
+
+    return _each(media, media_col, list(keep), "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, reason string", make)
 
 
 _CLIPS = pa.schema([("key", pa.int64()), ("clip", pa.int64()), ("first_frame", pa.int64()), ("end_frame", pa.int64()), ("start_us", pa.int64()), ("end_us", pa.int64()), ("histogram", pa.list_(pa.float64()))])
@@ -396,12 +426,11 @@ def clips(media: DataFrame, media_col: str = "media", id_col: str = "doc_id") ->
         for b in batches_of(batches, 4):
             rows = []
             for key, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if m is None or m[:4] != b"RIFF":
+                film, _ = open_film(m)
+                if film is None:
                     continue
-                avi = parse_avi(m)
-                hist = histograms(avi.frames, decode_own(avi.frames))
-                us = avi.us_per_frame
-                rows += [(key, i, a, z, a * us, z * us, hist[a:z].mean(axis=0).tolist()) for i, (a, z) in enumerate(shots(hist))]
+                us = film.avi.us_per_frame
+                rows += [(key, i, a, z, a * us, z * us, film.hist[a:z].mean(axis=0).tolist()) for i, (a, z) in enumerate(film.parts)]
             cols = list(zip(*rows)) or [()] * len(_CLIPS)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CLIPS)], schema=_CLIPS)
 

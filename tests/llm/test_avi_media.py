@@ -64,7 +64,35 @@ def test_odd_rows(make_docs, odd_rows):
 def test_media_that_are_none(spark, make_docs):
     files = spark.createDataFrame([(1, 5, None), (2, 6, bytearray(b"junk"))], "doc_id long, n_bytes long, media binary")
     assert avi.clips(files).count() == 0
-    assert [tuple(r)[2:] for r in avi.read_media(files).collect()] == [(None,) * 6] * 2
+    a, b = sorted(avi.read_media(files).collect())
+    assert tuple(a)[2:] == (None,) * 6 + ("null",)
+    assert tuple(b)[2:] == (None,) * 3 + (4, hashlib.sha256(b"junk").hexdigest(), None, "not an AVI file")
+
+
+def test_damaged_and_foreign_files(spark):
+    frames = avi.encode_frames(bytes(range(64)) * 48)
+    own = avi.write_avi(frames, 3072)
+    wave = b"RIFF" + struct.pack("<I", 4) + b"WAVE"
+    # another writer: no payload size, and frames with an application segment
+    foreign = avi.write_avi([f[:2] + b"\xff\xe0\x00\x04zz" + f[2:] for f in frames], 0)
+    vast = own.replace(b"\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 32, 32), b"\xff\xc0\x00\x0b\x08" + b"\xff\xff\xff\xff")
+    cases = [own, wave, foreign, own[:40], own[:400], own[: len(own) // 2], vast, b"RIFF", b"", own.replace(b"idx1", b"idxx")]
+    files = spark.createDataFrame([(i, 0, bytearray(m)) for i, m in enumerate(cases)], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in avi.read_media(files).collect()}
+    assert len(got) == len(cases) and got[0]["reason"] is None and got[9]["payload_sha256"] == got[0]["payload_sha256"]
+    assert got[1]["reason"] == got[7]["reason"] == got[8]["reason"] == "not an AVI file"
+    assert got[2]["reason"] == "no payload" and got[2]["feature"] == got[0]["feature"] and got[2]["payload_bytes"] is None
+    assert all(got[i]["feature"] is None and got[i]["reason"].startswith("damaged") for i in (4, 5)) and got[3]["payload_bytes"] is None
+    assert vast == own or got[6]["reason"].startswith("damaged")
+    assert {r["key"] for r in avi.clips(files).collect()} >= {0, 2, 9}
+    rng = np.random.RandomState(4)
+    noisy = []
+    for i in range(60):  # any byte may be wrong
+        raw = bytearray(own)
+        for at in rng.randint(0, len(raw), 3):
+            raw[at] = rng.randint(0, 256)
+        noisy.append((i, 0, raw))
+    assert avi.read_media(spark.createDataFrame(noisy, "doc_id long, n_bytes long, media binary")).count() == 60
 
 
 def test_clips_are_timed(spark):
