@@ -2,8 +2,9 @@
 
 The classifier is trained on the driver from a small labelled table of URLs (:data:`LABELLED` unless another is given;
 ``max_labelled`` rows at most are read from a given one, in order of the url's hash). Features are the 3- to 5-grams
-of ``^host$`` and of ``^path$``, hashed into ``2**bits`` buckets, host and path apart, each present once; training is
-full-batch gradient descent with L2, so it is deterministic. The weights (``8 * 2**bits`` bytes) are broadcast.
+of ``^host$`` and of ``^path$``, hashed into ``2**bits`` buckets, host and path apart, each present once, by numpy passes
+over the whole batch's bytes; training is full-batch gradient descent with L2, so it is deterministic. The weights
+(``8 * 2**bits`` bytes) are broadcast. Only urls that no rule decides are scored.
 
 Rules are (host, path prefix, verdict): a rule fits its host and all subdomains when the url's path starts with the
 rule's; the longest rule text wins. They are few and fixed, and become one CASE expression in the plan.
@@ -18,9 +19,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_buffer
+
 RULES: tuple[tuple[str, str, str], ...] = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
 _PLAIN = (
@@ -72,20 +77,30 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return text, verdict
 
 
-def buckets(host: str, path: str, bits: int) -> np.ndarray:
-    """Distinct feature buckets of a url."""
+def features(hosts: pa.Array, paths: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, bucket) pairs of a batch of urls; rows whose host is null have none."""
     found = []
-    for seed, s in ((1, f"^{host}$"), (2, f"^{path}$")):
-        raw = np.frombuffer(s.encode(), np.uint8).astype(np.uint64)
-        h = np.full(len(raw), seed * 0x9E3779B1, np.uint64)
+    for seed, col in ((1, hosts), (2, paths)):
+        data, off = text_buffer(pc.binary_join_element_wise("^", col.cast(pa.string()), "$", ""))
+        row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        raw, h = data.astype(np.uint64), np.full(len(data), seed * 0x9E3779B1, np.uint64)
         for n in range(1, 6):
             if n > len(raw):
                 break
             h = (h[: len(raw) - n + 1] ^ raw[n - 1 :]) * np.uint64(0x100000001B3)
             if n >= 3:
-                m = (h ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-                found.append(m >> np.uint64(64 - bits))
-    return np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
+                inside = row[: len(h)] == row[n - 1 :]
+                m = ((h ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+                found.append((row[: len(h)][inside] << bits) | m[inside].astype(np.int64))
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return pairs >> bits, pairs & ((1 << bits) - 1)
+
+
+def logits(w: np.ndarray, hosts: pa.Array, paths: pa.Array) -> np.ndarray:
+    """Weights of each row's buckets, scaled by the root of their number, and the bias."""
+    r, k = features(hosts, paths, (len(w) - 1).bit_length() - 1)
+    count = np.bincount(r, minlength=len(hosts))
+    return np.bincount(r, w[k], minlength=len(hosts)) / np.sqrt(np.maximum(1, count)) + w[-1]
 
 
 def split_url(url: str) -> tuple[str, str]:
@@ -102,22 +117,21 @@ def split_url(url: str) -> tuple[str, str]:
 
 def train(labelled: Sequence[tuple[str, int]], bits: int = 14, steps: int = 600, rate: float = 2.0, l2: float = 1e-4) -> np.ndarray:
     """Weights of the buckets, the bias last. Rows are scaled by the root of their number of features."""
-    rows = [buckets(*split_url(u), bits) for u, _ in labelled]
-    y = np.array([float(v) for _, v in labelled])
-    r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    c = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    x = np.concatenate([np.full(len(v), 1 / np.sqrt(max(1, len(v)))) for v in rows]) if rows else np.zeros(0)
+    parts = [split_url(u) for u, _ in labelled]
+    rows, y = len(parts), np.array([float(v) for _, v in labelled])
+    r, c = features(*(pa.array([p[i] for p in parts], pa.string()) for i in (0, 1)), bits)
+    x = 1 / np.sqrt(np.maximum(1, np.bincount(r, minlength=rows)))[r]
     w, b = np.zeros(1 << bits), 0.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(np.bincount(r, w[c] * x, minlength=len(rows)) + b)))
-        g = (p - y) / max(1, len(rows))
+        p = 1 / (1 + np.exp(-(np.bincount(r, w[c] * x, minlength=rows) + b)))
+        g = (p - y) / max(1, rows)
         w -= rate * (np.bincount(c, g[r] * x, minlength=1 << bits) + l2 * w)
         b -= rate * g.sum()
     return np.append(w, b)
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, max_labelled: int = 10_000, bits: int = 14) -> DataFrame:
-    """(id, host, path, rule, verdict, spam double) per row. ``labelled``: (url, label), bounded by ``max_labelled``."""
+    """(id, host, path, rule, verdict, spam double) per row, spam null where a rule decides. ``labelled``: (url, label), bounded by ``max_labelled``."""
     table = LABELLED
     if labelled is not None:
         table = [(r.url, int(r.label)) for r in labelled.filter("label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(max_labelled).collect()]
@@ -125,15 +139,16 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     @F.pandas_udf("double")
     def spam(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        w = sent.value
         for hosts, paths in parts:
-            out = np.empty(len(hosts))
-            for i, (h, p) in enumerate(zip(hosts, paths)):
-                k = buckets(h, p, bits)
-                out[i] = w[k].sum() / np.sqrt(max(1, len(k))) + w[-1]
-            yield pd.Series(1 / (1 + np.exp(-out)))
+            open_ = hosts.notna().to_numpy()
+            out = np.full(len(hosts), np.nan)
+            z = logits(sent.value, pa.array(hosts[open_], pa.string()), pa.array(paths[open_], pa.string()))
+            out[open_] = 1 / (1 + np.exp(-z))
+            yield pd.Series(out)
 
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    scored = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("said"), spam("host", "path").alias("spam"))
+    ruled = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("said"))
+    left = lambda c: F.when(F.col("said").isNull(), F.col(c))
+    scored = ruled.withColumn("spam", F.nanvl(spam(left("host"), left("path")), F.lit(None).cast("double")))
     return scored.select("id", "host", "path", "rule", F.coalesce("said", F.when(F.col("spam") >= 0.5, "block").otherwise("allow")).alias("verdict"), "spam")
