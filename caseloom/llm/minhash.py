@@ -9,11 +9,12 @@
 3. A pair's signatures are compared in batches of ``rows`` hashes. Under a uniform prior on similarity the posterior
    after m of n agreements is Beta(m + 1, n - m + 1); a pair is pruned as soon as the chance that its similarity
    reaches the threshold is below ``miss``. Survivors are verified exactly on their full shingle sets.
-4. Confirmed links give components. Buckets whose members are then still in several components are compared in blocks,
-   inside workers, every member with the members of other components: once by signatures alone, which says who has a
-   partner left at all, and then those, pruned and verified as above, on the spot, with their texts. So no link between
-   candidates is lost, no pairs are written, groups that the pivots have joined cost nothing more, and texts travel only
-   where signatures allow a link.
+4. Confirmed links give components. A bucket whose members are then still in several takes new pivots, another one in each
+   bucket and round, for the members of other components than the pivot's: still m - 1 pairs at most.
+5. In buckets that stay open, members outside the largest component meet, in blocks and inside workers, every member of
+   another component: once by signatures alone, which says who has a partner left at all, and then those, pruned and
+   verified as above, on the spot, with their texts. So no link between candidates is lost, no pairs are written, groups
+   that pivots have joined cost nothing more, and texts travel only where signatures allow a link.
 
 Banding misses a pair of similarity 0.8 with chance (1 - 0.8**5)**32 < 4e-6, and pruning one with chance ``miss`` a
 batch at most. There is no cap on buckets, partners or candidates. Signatures and texts meet by joins on nodes.
@@ -41,6 +42,8 @@ from .common import LOWER, batches_of, cut, drop_cut, id_key, mix64, positional,
 
 BANDS, ROWS = 32, 5
 BLOCK = 512
+#: Rounds of new pivots for open buckets.
+PIVOT_ROUNDS = 1
 #: Rounds after which stars that still move are an error; they settle in about the logarithm of the longest chain.
 MAX_ROUNDS = 64
 
@@ -74,9 +77,11 @@ def shingle_set(text: bytes, k: int) -> set[bytes]:
     return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
 
 
-def set_digest(grams: set[bytes]) -> bytes:
-    """16 bytes that stand for the whole set; shingles hold no line end, so the joint text is the set's own."""
-    return hashlib.blake2b(b"\n".join(sorted(grams)), digest_size=16).digest()
+def set_digest(text: bytes, k: int, first: np.ndarray) -> bytes:
+    """16 bytes that stand for the whole set, read at the ``first`` places of its shingles in an order that depends on the
+    shingles alone; they hold no line end, so the joint text is the set's own."""
+    w = text.lower().split()
+    return hashlib.blake2b(b"\n".join([b" ".join(w[i : i + k]) for i in first.tolist()]), digest_size=16).digest()
 
 
 def similar(a: set, b: set, percent: int) -> bool:
@@ -112,11 +117,10 @@ def _sketch(k: int):
             raw, o = data.tobytes(), off.tolist()
             sizes, digests, sigs = np.zeros(n, np.int64), [], []
             for i in range(n):
-                u = np.unique(h[cuts[i] : cuts[i + 1]])
+                u, first = np.unique(h[cuts[i] : cuts[i + 1]], return_index=True)
+                sizes[i] = len(u)
                 if len(u):
-                    grams = shingle_set(raw[o[i] : o[i + 1]], k)
-                    sizes[i] = len(grams)
-                    digests.append(set_digest(grams))
+                    digests.append(set_digest(raw[o[i] : o[i + 1]], k, first))
                     sigs.append(signature(u, a, b).tobytes())
                 else:
                     digests.append(bytes(16))
@@ -223,12 +227,18 @@ def _hopeful(least: np.ndarray):
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """(key, d, comp) to (key, d, comp, p, q, side): blocks of about BLOCK members of a bucket, each with itself and each later one."""
-    size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(size, "key").withColumn("i", F.pmod(F.xxhash64("d", F.lit(2)), F.col("blocks")).cast("int"))
-    # as the left side of (i, j >= i), as the right side of (j < i, i)
-    j = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
-    return placed.select("key", "d", "comp", "i", j).select("key", "d", "comp", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"))
+    """(key, d, comp) of open buckets to (key, d, comp, p, q, side): blocks of about BLOCK members outside a bucket's largest
+    component, each with itself, with each later one, and with the largest component's members, which are dealt in
+    blocks too, but never with each other."""
+    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    of = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).select("key", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("many"))
+    placed = members.join(of, "key").withColumn("h", F.xxhash64("d", F.lit(2)))
+    own = F.pmod(F.col("h"), F.col("few")).cast("int")
+    # block i as the left side of (i, j >= i) and the right side of (j < i, i); then as the left side of all main blocks
+    small = placed.filter("comp <> main").select("key", "d", "comp", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1)).alias("j"))
+    small = small.select("key", "d", "comp", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"))
+    main = placed.filter("comp = main").select("key", "d", "comp", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("p"), (F.col("few") + F.pmod(F.col("h"), F.col("many"))).cast("int").alias("q"), F.lit(1).alias("side"))
+    return small.unionByName(main)
 
 
 def _blocks(least: np.ndarray, k: int, percent: int):
@@ -335,7 +345,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _confirm(members.filter("d <> pivot").select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct(), sigs, texts, least, k, percent).unionByName(same_id)
     comp = components(sigs.select("d"), links)
 
-    # buckets of three and more members (of two, both have met) that links have not joined, each set of members once
+    # buckets of three and more members (of two, both have met) that links have not joined
+    for turn in range(PIVOT_ROUNDS):
+        now = members.join(comp, "d")
+        other = F.min(F.struct(F.xxhash64("key", "d", F.lit(turn)).alias("h"), "d", "comp")).alias("m")
+        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), other).filter("lo < hi and size > 2").select("key", F.col("m.d").alias("to"), F.col("m.comp").alias("of"))
+        pairs = now.join(mixed, "key").filter("comp <> of and d <> pivot and to <> pivot").select(F.least("d", "to").alias("a"), F.greatest("d", "to").alias("b")).distinct()
+        links = links.unionByName(_confirm(pairs, sigs, texts, least, k, percent))
+        comp = cut(components(sigs.select("d"), links))
+    # what is open still, each set of members once
     mixed = members.join(comp, "d")
     apart = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.shiftright(F.xxhash64("d"), 20)).alias("h1"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("h2")).filter("lo < hi and size > 2")
     once = apart.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key")

@@ -10,7 +10,7 @@ among ties. The distinct minima are the fingerprint: hashes with their positions
 Guarantee: texts that share a run of w + k - 1 tokens share a fingerprint hash, and no run under k tokens is seen. A
 text of fewer than k tokens has one gram, its whole token sequence; one of fewer than w grams has one window.
 
-The next document in descending id is found without a global sort: rows are cut into about sqrt(rows) ranges of (id, text
+The next document in descending id is found without a global sort: rows are cut into about 4 * sqrt(rows) ranges of (id, text
 hash), whose first rows a range exchange of these two numbers gives; a window orders each range, and the first row of the
 next range stands at its end as a guest. Only the bounds come to the driver, two numbers a range, and every row finds its
 range by binary search in them; no text is broadcast. Ranges and bounds both grow with the square root of the rows.
@@ -97,11 +97,12 @@ def shown(fp: str) -> Column:
 
 
 def ranges(rows: DataFrame) -> list[tuple[int, int]]:
-    """The first (e, h) of each of about sqrt(rows) ranges of the rows in order of (e, h)."""
+    """The first (e, h) of each of about 4 * sqrt(rows) ranges of the rows in order of (e, h)."""
     keys = cut(rows.select("e", "h"))
-    n = math.ceil(math.sqrt(keys.count()))
-    if n < 2:
+    count = keys.count()
+    if count < 2:
         return []
+    n = math.ceil(4 * math.sqrt(count))
     dealt = keys.repartitionByRange(n, "e", "h").select(F.spark_partition_id().alias("p"), "e", "h")
     firsts = dealt.groupBy("p").agg(F.min(F.struct("e", "h")).alias("first")).select("first.*").collect()  # n rows
     return sorted((r["e"], r["h"]) for r in firsts)
