@@ -3,7 +3,7 @@
 1. Rows of one shingle set form a class: copies are linked by the class and never meet in pairs. Sets are the same if a
    128-bit BLAKE2 digest of the whole set, its shingles in order, is; a class is a node of its own, named by a hash of
    that digest, and document ids play no part until components are named.
-2. Classes get ``bands * rows`` minhashes of their shingles; equal bands make candidates. Every bucket is
+2. Classes get ``bands * rows`` minhashes of their shingles, 16 bits each; equal bands make candidates. Every bucket is
    reduced to its smallest node with partial aggregation, and its members are compared with that pivot only: a bucket of
    m members gives m - 1 pairs, not m squared.
 3. A pair's signatures are compared in batches of ``rows`` hashes. Under a uniform prior on similarity the posterior
@@ -96,12 +96,13 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minhashes of one set: min over its members of (a * x + b) mod 2**32, in chunks of bounded size."""
+    """Minhashes of one set: min over its members of (a * x + b) mod 2**32, in chunks of bounded size; of each the low 16
+    bits, as unlike hashes agree in these once in 65,536 times only."""
     x, out = (h >> np.uint64(32)).astype(np.uint32) ^ h.astype(np.uint32), None
     for i in range(0, len(x), 1024):
         m = (a[:, None] * x[None, i : i + 1024] + b[:, None]).min(axis=1)
         out = m if out is None else np.minimum(out, m)
-    return out
+    return out.astype(np.uint16)
 
 
 def _sketch(k: int):
@@ -136,7 +137,7 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches_of(batches, 4):
         if not b.num_rows:
             continue
-        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
+        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
         key = np.zeros(sig.shape[:2], np.uint64) + salt
         for j in range(ROWS):
             key = mix64(key ^ sig[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
@@ -176,7 +177,7 @@ def _prune(least: np.ndarray):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in (2, 3))
             at = pa.array(survive(x, y, least))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
 
@@ -203,7 +204,7 @@ def _verify(k: int, percent: int):
 def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rows of the left block, of the right one, signatures, components as numbers); a block alone is both sides."""
     left, right = (np.flatnonzero(pdf.side.to_numpy() == i) for i in (0, 1))
-    sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(len(pdf), -1)
+    sig = np.frombuffer(b"".join(pdf.sig), np.uint16).reshape(len(pdf), -1)
     _, comp = np.unique(pdf.comp.to_numpy(), return_inverse=True)
     return left, right, sig, comp
 
@@ -332,6 +333,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(sketched.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "t")).alias("r")).select("s1", "s2", "n", F.xxhash64("s1", "s2", "n").alias("node"), F.col("r.d").alias("rep"), F.col("r.t").alias("rt")))
     c = classes.select(F.col("node"), F.col("rep").alias("d"), F.col("rt").alias("t"))
     sigs = cut(sketched.filter("n > 0").join(c, ["d", "t"]).groupBy("node").agg(F.min("sig").alias("sig"), F.min("d").alias("id"), F.min("t").alias("t")).withColumnRenamed("node", "d"))
+    whole, sketched = sketched, cut(sketched.drop("sig"))
+    drop_cut(whole)
     texts, least = rows.select(F.col("d").alias("id"), "t", "x"), least_matches(percent, miss)
     # the sets of one id are linked by it, as a star
     of_id = sketched.filter("n > 0").select("d", F.xxhash64("s1", "s2", "n").alias("b"))
