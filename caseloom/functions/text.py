@@ -126,6 +126,11 @@ def humanize(action: Column) -> Column:
     return F.concat(F.upper(F.left(words, F.lit(1))), F.substring(words, 2, 1_000_000))
 
 
+def plural(noun: Column) -> Column:
+    """The regular English plural."""
+    return F.when(noun.rlike("[^aeiou]y$"), F.regexp_replace(noun, "y$", "ies")).when(noun.rlike("(s|x|z|ch|sh)$"), F.concat(noun, F.lit("es"))).otherwise(F.concat(noun, F.lit("s")))
+
+
 def claim_id(*parts: Column) -> Column:
     """c- and 12 hexadecimal digits of the SHA-1 of the trimmed, lower-cased parts."""
     body = F.concat_ws("\x1f", *[F.lower(F.trim(p.cast("string"))) for p in parts])

@@ -23,6 +23,12 @@ def dedupe_links(links: DataFrame) -> DataFrame:
     return links.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
+def sources_of(members: DataFrame) -> DataFrame:
+    """(component, sources, single): the systems of each component's records (component, source), and whether it is one."""
+    g = members.groupBy("component").agg(F.array_sort(F.collect_set("source")).alias("s"))
+    return g.select("component", F.array_join("s", ",").alias("sources"), (F.size("s") == 1).alias("single"))
+
+
 def resolve(entities: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links with resolved boolean, invented nodes (node, kind, virtual)).
 

@@ -75,15 +75,19 @@ def greedy_pairs(spark, sf) -> DataFrame:
 
 @query(
     "proximity_pairs",
-    """WITH t AS (SELECT user_id, ts FROM events), p AS (SELECT a.user_id AS a, b.user_id AS b, min(abs(epoch_us(a.ts) - epoch_us(b.ts))) AS us FROM t a JOIN t b ON a.user_id < b.user_id AND b.user_id - a.user_id <= 2 GROUP BY ALL)
-SELECT a, b, floor(us / 86400000000.0)::BIGINT AS min_days FROM p WHERE floor(us / 86400000000.0) <= 30""",
+    """WITH t AS (SELECT o_orderkey AS k, o_orderdate AS ts FROM orders UNION SELECT l_orderkey, l_shipdate FROM lineitem), p AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders),
+d AS (SELECT a, b, min(abs(epoch_us(x.ts::TIMESTAMP) - epoch_us(y.ts::TIMESTAMP))) AS us FROM p JOIN t x ON x.k = a JOIN t y ON y.k = b GROUP BY ALL),
+s AS (SELECT DISTINCT a, b FROM p JOIN lineitem x ON x.l_orderkey = a JOIN lineitem y ON y.l_orderkey = b AND x.l_suppkey = y.l_suppkey)
+SELECT d.a, d.b, CASE WHEN s.a IS NULL THEN 'time' ELSE 'actor' END AS why, CASE WHEN us <= 30 * 86400000000 + 86399999999 THEN us // 86400000000 END AS min_days FROM d LEFT JOIN s USING (a, b) WHERE s.a IS NOT NULL OR us // 86400000000 <= 30""",
 )
 def proximity_pairs(spark, sf) -> DataFrame:
-    log = table(spark, sf, "events").select(F.col("user_id").alias("case_id"), "ts")
-    ids = log.select("case_id").distinct()
-    step = F.explode(F.array(F.lit(1), F.lit(2)))
-    pairs = ids.select(F.col("case_id").alias("a"), step.alias("s")).select("a", (F.col("a") + F.col("s")).alias("b"))
-    return S.near_in_time(log, pairs, 30)
+    """Every order with the customer's next one: near in time, or from a common supplier."""
+    from pyspark.sql import Window
+
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    log = o.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("actor")).unionByName(l.select(F.col("l_orderkey").alias("case_id"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_suppkey").cast("bigint").alias("actor")))
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return S.proximity(log, o.select(F.col("o_orderkey").alias("a"), following.alias("b")).filter("b is not null"), 30)
 
 
 @query(
@@ -105,23 +109,25 @@ def topic_clusters(spark, sf) -> DataFrame:
     return refine(b, spark_total=b.count(), min_score=0.2)
 
 
-@query(
-    "embedding_shortlist",
-    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.3""",
-)
+_COSINES = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.vec_id < b.vec_id)"
+
+
+def _vectors(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+@query("embedding_shortlist", f"WITH {_COSINES} SELECT a, b, cosine FROM c WHERE cosine >= 0.3 ORDER BY cosine DESC, a, b LIMIT 200")
 def embedding_shortlist(spark, sf) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    a, b = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb"))
-    p = a.join(b, "label").filter("a < b").withColumn("cosine", S.cosine("va", "vb")).filter("cosine >= 0.3")
-    return p.select("a", "b", F.round("cosine", 6).alias("cosine"))
+    """All vectors with all others; the 200 likest pairs are what a judge is asked about."""
+    return S.shortlist(S.cosine_pairs(_vectors(spark, sf), 0.3).withColumn("cosine", F.round("cosine", 6)), "cosine", 200)
 
 
-@query("embedding_shortlist_all")
-def embedding_shortlist_all(spark, sf) -> DataFrame:
-    """All pairs of vectors, whatever their labels, at the reference's bar."""
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return S.cosine_pairs(e, 0.55).withColumn("cosine", F.round("cosine", 6))
+@query("embedding_links", f"WITH {_COSINES}, l AS (SELECT a AS id FROM c WHERE cosine >= 0.55 UNION ALL SELECT b FROM c WHERE cosine >= 0.55), n AS (SELECT id, count(*) AS n FROM l GROUP BY id) SELECT vec_id AS id, coalesce(n, 0) AS links FROM e LEFT JOIN n ON id = vec_id")
+def embedding_links(spark, sf) -> DataFrame:
+    """Every vector and how many others it is at the bar of 0.55 or above with."""
+    v = _vectors(spark, sf)
+    ends = S.cosine_pairs(v, 0.55).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    return v.select("id").join(ends, "id", "left").select("id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 _RULES = [("thank", "closing"), ("error", "problem"), ("?", "question"), ("the", "statement")]
