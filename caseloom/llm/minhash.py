@@ -307,6 +307,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
+def _some(sigs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(d, sig) of the nodes in ``ids`` (d). These are written first: Spark then knows their size as it plans, and moves all
+    signatures only where the ids are too many to send around."""
+    few = cut(ids.distinct())
+    found = cut(sigs.select("d", "sig").join(few, "d", "left_semi"))
+    drop_cut(few)
+    return found
+
+
 def _bodies(texts: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(d, x): a text of each of ``nodes`` (distinct d), written out."""
     wanted = cut(sigs.select("d", "id", "t").join(nodes, "d"))
@@ -315,12 +324,15 @@ def _bodies(texts: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: np.ndarray, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the sequential test and then hold on the full shingle sets."""
-    of = lambda c, s: sigs.select(F.col("d").alias(c), F.col("sig").alias(s))
+    pairs = cut(pairs)
+    some = _some(sigs, pairs.select(F.col("a").alias("d")).union(pairs.select("b")))
+    of = lambda c, s: some.select(F.col("d").alias(c), F.col("sig").alias(s))
     passed = cut(pairs.join(of("b", "sb"), "b").join(of("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(_prune(least), "a long, b long"))
     bodies = _bodies(texts, sigs, passed.select(F.col("a").alias("d")).union(passed.select("b")).distinct())
     both = passed.join(bodies.select(F.col("d").alias("b"), F.col("x").alias("xb")), "b").join(bodies.select(F.col("d").alias("a"), F.col("x").alias("xa")), "a")
     links = cut(both.select("a", "b", "xa", "xb").mapInArrow(_verify(k, percent), "a long, b long").distinct())
-    drop_cut(bodies)
+    for done in (pairs, some, passed, bodies):
+        drop_cut(done)
     return links
 
 
@@ -361,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.shiftright(F.xxhash64("d"), 20)).alias("h1"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("h2")).filter("lo < hi and size > 2")
     once = apart.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key")
     open_ = cut(mixed.join(once, "key").select("key", "d", "comp"))
-    of_sig = sigs.select("d", "sig")
+    of_sig = _some(sigs, open_.select("d"))
     hopeful = cut(_dealt(open_).join(of_sig, "d").groupBy("key", "p", "q").applyInPandas(_hopeful(least), "key long, d long").distinct())
     if not hopeful.isEmpty():
         bodies = _bodies(texts, sigs, hopeful.select("d").distinct())
