@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The stop words, and below the scoring constants and evidence patterns, decide results and must be these.
 STOPWORDS = sorted(
     set(
         "a an the and or but if then else for of to in on at by with from as is are was were be been being do does did done "

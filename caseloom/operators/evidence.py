@@ -42,22 +42,24 @@ def lonely_steps(readings: DataFrame, min_runs: int = 3) -> DataFrame:
     return g.filter((F.col("runs") >= min_runs) & (F.col("most") == 1)).select("process", "step", "runs")
 
 
-def even_stride(df: DataFrame, order: str, n: int) -> DataFrame:
-    """``n`` rows spread evenly over ``order``, all of them if there are no more. Ranks are counted in two levels, so no
-    task sees all rows: ``order`` must be an integer column."""
-    total = df.count()
+def even_stride(df: DataFrame, order: str, n: int, ranges: int = 256) -> DataFrame:
+    """``n`` rows spread evenly over ``order`` (any type that sorts, distinct values), all of them if there are no more.
+
+    Ranks are counted in two levels, so no task sees all rows: rows are range-partitioned, counted by range, and numbered
+    within their range, whatever the values' spread.
+    """
+    from .graph import materialise
+
     if n <= 0:
         return df.limit(0)
-    if total <= n:
-        return df
-    width = max(1, total // 256)
-    keyed = df.withColumn("__b", F.floor(F.col(order) / width))
-    sums = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
-    ahead = sums.withColumn("__a", F.coalesce(F.sum("__c").over(Window.partitionBy().orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
-    r = keyed.join(F.broadcast(ahead), "__b").withColumn("__i", F.col("__a") + F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1)  # 256 ranges or so
+    dealt = materialise(df.repartitionByRange(ranges, order).withColumn("__b", F.spark_partition_id()))
+    sums = dealt.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+    ahead = sums.withColumn("__a", F.coalesce(F.sum("__c").over(Window.partitionBy().orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__t", F.sum("__c").over(Window.partitionBy())).drop("__c")
+    r = dealt.join(F.broadcast(ahead), "__b").withColumn("__i", F.col("__a") + F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1)  # one row a range
     # row i is taken if some k has floor(k * total / n) = i
-    k = F.ceil(F.col("__i") * n / F.lit(total))
-    return r.filter((F.floor(k * F.lit(total) / n) == F.col("__i")) & (k < n)).drop("__b", "__a", "__i")
+    k = F.ceil(F.col("__i") * n / F.col("__t"))
+    taken = (F.col("__t") <= n) | ((F.floor(k * F.col("__t") / n) == F.col("__i")) & (k < n))
+    return r.filter(taken).drop("__b", "__a", "__t", "__i")
 
 
 def cap_per_case(df: DataFrame, case: str, order: list[str], n: int) -> DataFrame:

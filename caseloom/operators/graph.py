@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder under the warehouse serves one machine, and a cluster is refused."""
     given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (given or spark.conf.get("spark.sql.warehouse.dir") + "/_caseloom").rstrip("/")
 
 

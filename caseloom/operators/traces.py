@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 START, END = "__start__", "__end__"
 #: Order of actions that share an instant: what one commit does first.
+#: Fixed values that results depend on.
 RANKS = {"authored": 0, "co-authored": 0, "reviewed": 1, "committed": 2, "merged": 3, "reverted": 3, "released": 4, "closed": 5}
 
 

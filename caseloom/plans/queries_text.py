@@ -9,6 +9,7 @@ from ..functions import dates as D
 from ..functions import text as X
 from ..operators import evidence as E
 from ..operators import similarity as S
+from ..operators import summaries as U
 from .logs import EV, LONG_GAP, LONG_RUNS, event_log, event_runs, table
 from .register import query
 
@@ -211,7 +212,7 @@ def label_screen(spark, sf) -> DataFrame:
 def decision_ledger(spark, sf) -> DataFrame:
     l = table(spark, sf, "labels")
     d = l.select(F.lit("quality").alias("kind"), F.when(F.col("quality") == 1, "kept").otherwise("declined").alias("outcome")).unionByName(l.select(F.lit("toxic").alias("kind"), F.when(F.col("toxic") == 0, "kept").otherwise("declined").alias("outcome")))
-    return d.groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return U.ledger(d)
 
 
 @query("repeatability", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, count(DISTINCT value >= 0.5) - 1 AS flips FROM events GROUP BY event_type")
@@ -244,13 +245,15 @@ def subject_norm(spark, sf) -> DataFrame:
     return o.select("o_orderkey", X.subject_key(raw).alias("subject"))
 
 
-@query("reference_extract", "SELECT o_orderkey, 'pr' AS kind, o_orderkey AS number, 4 AS tier FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'issue', o_custkey, 3 FROM orders")
+@query(
+    "reference_extract",
+    """SELECT o_orderkey, 'pr' AS kind, o_orderkey AS number, 4 AS tier FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'issue', o_custkey, 3 FROM orders
+UNION ALL SELECT o_orderkey, 'issue', o_orderkey, 2 FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey <> o_custkey""",
+)
 def reference_extract(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders")
     body = F.concat(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Merge pull request #"), F.col("o_orderkey").cast("string"), F.lit(" from x/y\n"))).otherwise(""), F.lit("Fixes #"), F.col("o_custkey").cast("string"), F.lit(", see #"), F.col("o_custkey").cast("string"))
-    refs = o.select("o_orderkey", F.explode(X.references(body)).alias("r")).select("o_orderkey", "r.kind", "r.number", "r.tier")
-    # a bare mention inside the merge line is the pull request itself
-    return refs.filter("not (kind = 'issue' and tier = 2)")
+    return o.select("o_orderkey", F.explode(X.references(body)).alias("r")).select("o_orderkey", "r.kind", "r.number", "r.tier")
 
 
 @query("date_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders")
@@ -266,24 +269,22 @@ def date_parse(spark, sf) -> DataFrame:
     f"""WITH {EV} SELECT kind, activity, count(*) AS events, count(DISTINCT case_id) AS cases FROM ev GROUP BY GROUPING SETS ((kind), (activity), ())""",
 )
 def model_stats(spark, sf) -> DataFrame:
-    event_log(spark, sf).createOrReplaceTempView("__model_stats")
-    return spark.sql("SELECT kind, activity, count(*) AS events, count(DISTINCT case_id) AS cases FROM __model_stats GROUP BY GROUPING SETS ((kind), (activity), ())")
+    return U.stats(event_log(spark, sf))
 
 
 @query("run_facets", f"WITH {LONG_RUNS} SELECT 'kind' AS facet, kind AS value, count(*) AS n FROM rn GROUP BY kind UNION ALL SELECT 'shape', shape, count(*) FROM rn GROUP BY shape HAVING count(*) > 1")
 def run_facets(spark, sf) -> DataFrame:
-    r = event_runs(spark, sf, LONG_GAP)
-    shape = F.array_join("shape", ">")
-    return r.groupBy(F.lit("kind").alias("facet"), F.col("kind").alias("value")).agg(F.count(F.lit(1)).alias("n")).unionByName(r.groupBy(F.lit("shape").alias("facet"), shape.alias("value")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    r = event_runs(spark, sf, LONG_GAP).select("kind", F.array_join("shape", ">").alias("shape"))
+    return U.facets(r, ["kind", "shape"]).filter("facet = 'kind' or n > 1")
 
 
 @query("run_search", f"WITH {LONG_RUNS} SELECT key, shape FROM rn WHERE contains(lower(key || ' ' || kind || ' ' || shape), 'purchase>error')")
 def run_search(spark, sf) -> DataFrame:
     r = event_runs(spark, sf, LONG_GAP).select("key", "kind", F.array_join("shape", ">").alias("shape"))
-    return r.filter(F.lower(F.concat_ws(" ", "key", "kind", "shape")).contains("purchase>error")).select("key", "shape")
+    return U.search(r, "Purchase>error", ["key", "kind", "shape"]).select("key", "shape")
 
 
 @query("leftover_groups", "SELECT CASE WHEN c_acctbal < 0 THEN 'in debt' ELSE 'idle' END AS reason, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) GROUP BY 1")
 def leftover_groups(spark, sf) -> DataFrame:
     big = table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").join(big, "c_custkey", "left_anti").groupBy(F.when(F.col("c_acctbal") < 0, "in debt").otherwise("idle").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return U.leftovers(table(spark, sf, "customer"), big, "c_custkey", F.when(F.col("c_acctbal") < 0, "in debt").otherwise("idle"))

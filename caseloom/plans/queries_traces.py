@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import performance as P
+from ..operators import summaries as U
 from ..operators import traces as T
 from .logs import EV, LONG_GAP, LONG_RUNS, OL, RUNS, TRACES, conversation_log, event_log, event_runs, event_traces, order_log, table
 from .register import query
@@ -111,13 +112,14 @@ def dfg_edges(spark, sf) -> DataFrame:
 
 @query("activity_catalogue", "SELECT event_type AS activity, count(*) AS n, count(DISTINCT user_id) AS actors, min(event_id) AS sample FROM events GROUP BY event_type")
 def activity_catalogue(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("activity")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("actors"), F.min("event_id").alias("sample"))
+    e = table(spark, sf, "events").select(F.col("event_type").alias("activity"), F.col("user_id").alias("actor"), "event_id")
+    return U.activity_catalogue(e, "event_id")
 
 
 @query("same_activity_merge", "SELECT l_orderkey AS entity, l_returnflag AS action, l_shipdate AS ts, count(*) AS records, count(DISTINCT l_suppkey) AS actors FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2")
 def same_activity_merge(spark, sf) -> DataFrame:
-    g = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("entity"), F.col("l_returnflag").alias("action"), F.col("l_shipdate").alias("ts"))
-    return g.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("l_suppkey").alias("actors")).filter("actors >= 2")
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_returnflag").alias("action"), F.col("l_shipdate").alias("ts"), F.col("l_suppkey").alias("actor"))
+    return U.same_activity_merges(l)
 
 
 _CANON = """q AS (SELECT kind, activity AS step, count(*) AS runs_with, round(avg((i - 1) / greatest(1, length - 1)), 9) AS mean_place FROM bf JOIN rn USING (kind, key) GROUP BY ALL),
@@ -223,12 +225,7 @@ SELECT rn.kind, rn.key, CASE WHEN rn.kind = 'automated' THEN 'automated' WHEN m.
 FROM rn LEFT JOIN usual USING (kind) LEFT JOIN m ON m.key = rn.key""",
 )
 def deviation_class(spark, sf) -> DataFrame:
-    runs = event_runs(spark, sf, LONG_GAP)
-    canon = P.usual_shape(runs, KIND)
-    gone = P.missing_steps(runs, P.canonical_path(runs, KIND), KIND).select("key").distinct().withColumn("gone", F.lit(True))
-    r = runs.join(F.broadcast(canon), "kind", "left").join(gone, "key", "left")  # one path a kind
-    cls = F.when(F.col("kind") == "automated", "automated").when(F.col("gone"), "missing").when(~F.array_contains("shape", F.element_at("canon", -1)), "ended").when(F.col("shape") == F.col("canon"), "usual").otherwise("other")
-    return r.select("kind", "key", cls.alias("deviation"))
+    return U.deviations(event_runs(spark, sf, LONG_GAP), KIND, F.col("kind") == "automated").select("kind", "key", "deviation")
 
 
 @query(
@@ -238,24 +235,17 @@ def deviation_class(spark, sf) -> DataFrame:
  WHEN len(list_filter(string_split(canon, '>'), lambda x: NOT list_contains(string_split(rn.shape, '>'), x))) > 1 THEN 'fewer steps' ELSE 'different order' END AS label FROM rn JOIN usual USING (kind)""",
 )
 def path_label(spark, sf) -> DataFrame:
-    runs = event_runs(spark, sf)
-    r = runs.join(F.broadcast(P.usual_shape(runs, KIND)), "kind")  # one path a kind
-    gone = F.array_except("canon", "shape")
-    label = F.when(F.col("shape") == F.col("canon"), "most common").when(F.slice("canon", F.lit(1), F.size("shape")) == F.col("shape"), F.concat(F.lit("ended at "), F.element_at("shape", -1))).when(F.size(gone) == 1, F.concat(F.lit("no "), F.element_at(gone, 1), F.lit(" step"))).when(F.size(gone) > 1, "fewer steps").otherwise("different order")
-    return r.select("key", label.alias("label"))
+    return U.path_labels(event_runs(spark, sf), KIND).select("key", "label")
 
 
 @query("kind_flow", f"WITH {RUNS} SELECT kind, activity AS step, round(coalesce(avg((i - 1) / (length - 1)) FILTER (WHERE length >= 2), 1.1), 9) AS place FROM bf JOIN rn USING (kind, key) GROUP BY ALL")
 def kind_flow(spark, sf) -> DataFrame:
-    e = event_runs(spark, sf).select("kind", F.size("shape").alias("n"), F.posexplode("shape").alias("i", "step"))
-    return e.groupBy("kind", "step").agg(F.round(F.coalesce(F.avg(F.when(F.col("n") >= 2, F.col("i") / (F.col("n") - 1))), F.lit(1.1)), 9).alias("place"))
+    return U.kind_flow(event_runs(spark, sf), KIND).withColumn("place", F.round("place", 9))
 
 
 @query("step_support", f"WITH {RUNS} SELECT bf.kind, activity AS step, count(*) AS found, any_value(t.n) AS runs FROM bf JOIN (SELECT kind, count(*) AS n FROM rn GROUP BY kind) t USING (kind) GROUP BY ALL")
 def step_support(spark, sf) -> DataFrame:
-    runs = event_runs(spark, sf)
-    n = runs.groupBy("kind").agg(F.count(F.lit(1)).alias("runs"))
-    return runs.select("kind", F.explode("shape").alias("step")).groupBy("kind", "step").agg(F.count(F.lit(1)).alias("found")).join(n, "kind")
+    return U.step_support(event_runs(spark, sf), KIND)
 
 
 @query(
@@ -266,8 +256,7 @@ SELECT source, count(*) AS runs, median(ratio) AS median_ratio, count(*) >= 10 A
 )
 def transport_ratio(spark, sf) -> DataFrame:
     a = event_log(spark, sf).select(F.lit("events").alias("source"), "case_id", "activity").unionByName(conversation_log(spark, sf).select(F.lit("conversations").alias("source"), "case_id", "activity"))
-    r = a.groupBy("source", "case_id").agg((F.count(F.lit(1)) / F.countDistinct("activity")).alias("ratio"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return r.groupBy("source").agg(F.count(F.lit(1)).alias("runs"), F.median("ratio").alias("median_ratio")).withColumn("needs_reading", (F.col("runs") >= 10) & (F.col("median_ratio") >= 2.0))
+    return U.transport_ratio(a, ["source"])
 
 
 @query(
@@ -286,10 +275,7 @@ def duration_words(spark, sf) -> DataFrame:
 LEFT JOIN wt ON wt.kind = a.kind AND wt.from_step = a.step AND wt.to_step = z.step""",
 )
 def flow_waits(spark, sf) -> DataFrame:
-    runs = event_runs(spark, sf, LONG_GAP)
-    path = P.canonical_path(runs, KIND).select("kind", "step", "place")
-    pairs = path.select("kind", F.col("step").alias("from_step"), F.lead("step").over(Window.partitionBy("kind").orderBy("place")).alias("to_step")).filter("to_step is not null")
-    return pairs.join(P.wait_times(runs, KIND), ["kind", "from_step", "to_step"], "left").select("kind", "from_step", "to_step", F.round("median_s", 3).alias("median_s"), "measured")
+    return U.flow_waits(event_runs(spark, sf, LONG_GAP), KIND).withColumn("median_s", F.round("median_s", 3))
 
 
 

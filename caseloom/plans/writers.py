@@ -37,14 +37,15 @@ def stats(model: Model) -> DataFrame:
 
 
 def document(model: Model, sources: list[str] = (), max_rows: int = 10_000) -> dict:
-    """The model as one JSON-ready document for a reader: each table up to ``max_rows`` rows, and its full count. The
-    Parquet tables are the complete result."""
+    """The model as one JSON-ready document for a reader: each table up to ``max_rows`` rows, its full count, and whether it
+    is complete. The Parquet tables are the complete result; events are in these alone."""
     out: dict = {"disclaimers": disclaimers(list(sources)), "stats": [r.asDict() for r in stats(model).collect()], "tables": {}}
     for name, df in model.tables().items():
         if name in ("events",):
             continue
         flat = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
-        out["tables"][name] = {"n": df.count(), "rows": [json.loads(r.j) for r in flat.limit(max_rows).collect()]}
+        rows, n = [json.loads(r.j) for r in flat.limit(max_rows).collect()], df.count()
+        out["tables"][name] = {"n": n, "complete": len(rows) == n, "rows": rows}
     return out
 
 

@@ -15,6 +15,7 @@ from ..functions import dates as D
 from .eventlog import EventLogSpec
 from .tracker import StepColumn, TableSpec
 
+#: Thresholds and hints decide which shape is found.
 SAMPLE = 5000
 MAX_PER_CASE, MAX_ACTIVITIES, MIN_DENSITY, MIN_UNIQUE, MIN_DATES = 100, 100, 0.5, 0.85, 0.8
 ACTOR_HINTS = ("user", "actor", "resource", "performer", "who", "operator", "agent", "owner")

@@ -19,6 +19,7 @@ from ..functions import text as X
 from ..model import DIRECT, HEURISTIC, JOINED, Shaped, shaped
 
 _FIELDS = "locator string, seq long, subject string, sender string, to_ string, cc string, date_iso string, mid string, irt string, body string"
+#: Fixed values that results depend on.
 BOT = r"noreply|no-reply|donotreply|do-not-reply|mailer-daemon|postmaster|notifications|automated|auto-confirm|bounce"
 
 
