@@ -17,7 +17,8 @@
    that pivots have joined cost nothing more, and texts travel only where signatures allow a link.
 
 Banding misses a pair of similarity 0.8 with chance (1 - 0.8**5)**32 < 4e-6, and pruning one with chance ``miss`` a
-batch at most. There is no cap on buckets, partners or candidates. Signatures and texts meet by joins on nodes.
+batch at most. There is no cap on buckets, partners or candidates. Signatures and texts meet pairs by shuffles on nodes, at any
+size: they grow with the corpus and are never broadcast.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document with fewer words than a shingle has its whole sequence
 as one shingle. Edge cases: null or empty texts, and texts without words, have no shingles and link with nothing, not
@@ -326,10 +327,11 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: np.ndar
     """Pairs (a, b) that pass the sequential test and then hold on the full shingle sets."""
     pairs = cut(pairs)
     some = _some(sigs, pairs.select(F.col("a").alias("d")).union(pairs.select("b")))
-    of = lambda c, s: some.select(F.col("d").alias(c), F.col("sig").alias(s))
+    of = lambda c, s: some.select(F.col("d").alias(c), F.col("sig").alias(s)).hint("merge")
     passed = cut(pairs.join(of("b", "sb"), "b").join(of("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(_prune(least), "a long, b long"))
     bodies = _bodies(texts, sigs, passed.select(F.col("a").alias("d")).union(passed.select("b")).distinct())
-    both = passed.join(bodies.select(F.col("d").alias("b"), F.col("x").alias("xb")), "b").join(bodies.select(F.col("d").alias("a"), F.col("x").alias("xa")), "a")
+    text = lambda c, x: bodies.select(F.col("d").alias(c), F.col("x").alias(x)).hint("merge")
+    both = passed.join(text("b", "xb"), "b").join(text("a", "xa"), "a")
     links = cut(both.select("a", "b", "xa", "xb").mapInArrow(_verify(k, percent), "a long, b long").distinct())
     for done in (pairs, some, passed, bodies):
         drop_cut(done)
@@ -374,10 +376,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = apart.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key")
     open_ = cut(mixed.join(once, "key").select("key", "d", "comp"))
     of_sig = _some(sigs, open_.select("d"))
-    hopeful = cut(_dealt(open_).join(of_sig, "d").groupBy("key", "p", "q").applyInPandas(_hopeful(least), "key long, d long").distinct())
+    hopeful = cut(_dealt(open_).join(of_sig.hint("merge"), "d").groupBy("key", "p", "q").applyInPandas(_hopeful(least), "key long, d long").distinct())
     if not hopeful.isEmpty():
         bodies = _bodies(texts, sigs, hopeful.select("d").distinct())
-        crossed = _dealt(open_.join(hopeful, ["key", "d"])).join(of_sig, "d").join(bodies, "d").groupBy("key", "p", "q").applyInPandas(_blocks(least, k, percent), "a long, b long")
+        crossed = _dealt(open_.join(hopeful, ["key", "d"])).join(of_sig.hint("merge"), "d").join(bodies.hint("merge"), "d").groupBy("key", "p", "q").applyInPandas(_blocks(least, k, percent), "a long, b long")
         comp = components(sigs.select("d"), links.unionByName(cut(crossed.distinct())))
     drop_cut(members)
     of_class = classes.select("s1", "s2", "n", "rep", F.col("node").alias("d")).join(comp, "d")
