@@ -17,8 +17,7 @@
    that pivots have joined cost nothing more, and texts travel only where signatures allow a link.
 
 Banding misses a pair of similarity 0.8 with chance (1 - 0.8**5)**32 < 4e-6, and pruning one with chance ``miss`` a
-batch at most. There is no cap on buckets, partners or candidates. Signatures and texts meet pairs by shuffles on nodes, at any
-size: they grow with the corpus and are never broadcast.
+batch at most. There is no cap on buckets, partners or candidates. Signatures and texts meet by joins on nodes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document with fewer words than a shingle has its whole sequence
 as one shingle. Edge cases: null or empty texts, and texts without words, have no shingles and link with nothing, not
@@ -308,15 +307,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
-def _some(sigs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(d, sig) of the nodes in ``ids`` (d). These are written first: Spark then knows their size as it plans, and moves all
-    signatures only where the ids are too many to send around."""
-    few = cut(ids.distinct())
-    found = cut(sigs.select("d", "sig").join(few, "d", "left_semi"))
-    drop_cut(few)
-    return found
-
-
 def _bodies(texts: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(d, x): a text of each of ``nodes`` (distinct d), written out."""
     wanted = cut(sigs.select("d", "id", "t").join(nodes, "d"))
@@ -325,16 +315,12 @@ def _bodies(texts: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: np.ndarray, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the sequential test and then hold on the full shingle sets."""
-    pairs = cut(pairs)
-    some = _some(sigs, pairs.select(F.col("a").alias("d")).union(pairs.select("b")))
-    of = lambda c, s: some.select(F.col("d").alias(c), F.col("sig").alias(s)).hint("merge")
+    of = lambda c, s: sigs.select(F.col("d").alias(c), F.col("sig").alias(s))
     passed = cut(pairs.join(of("b", "sb"), "b").join(of("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(_prune(least), "a long, b long"))
     bodies = _bodies(texts, sigs, passed.select(F.col("a").alias("d")).union(passed.select("b")).distinct())
-    text = lambda c, x: bodies.select(F.col("d").alias(c), F.col("x").alias(x)).hint("merge")
-    both = passed.join(text("b", "xb"), "b").join(text("a", "xa"), "a")
+    both = passed.join(bodies.select(F.col("d").alias("b"), F.col("x").alias("xb")), "b").join(bodies.select(F.col("d").alias("a"), F.col("x").alias("xa")), "a")
     links = cut(both.select("a", "b", "xa", "xb").mapInArrow(_verify(k, percent), "a long, b long").distinct())
-    for done in (pairs, some, passed, bodies):
-        drop_cut(done)
+    drop_cut(bodies)
     return links
 
 
@@ -343,10 +329,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of shingles, component the smallest id reachable over links (its own where it has none)."""
     rows = tune(docs).select(id_key(F.col(id_col)).alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("x"))
     sketched = cut(rows.mapInArrow(_sketch(k), "d long, t long, s1 long, s2 long, n long, sig binary"))
-    # a class is read from one of its rows, that of the smallest (id, text hash), whatever other texts the id has
-    classes = cut(sketched.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "t")).alias("r")).select("s1", "s2", "n", F.xxhash64("s1", "s2", "n").alias("node"), F.col("r.d").alias("rep"), F.col("r.t").alias("rt")))
-    c = classes.select(F.col("node"), F.col("rep").alias("d"), F.col("rt").alias("t"))
-    sigs = cut(sketched.filter("n > 0").join(c, ["d", "t"]).groupBy("node").agg(F.min("sig").alias("sig"), F.min("d").alias("id"), F.min("t").alias("t")).withColumnRenamed("node", "d"))
+    # a class is read from one of its rows, that of the smallest (id, text hash), whatever other texts the id has; rows of
+    # one set have one signature
+    classes = cut(sketched.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "t")).alias("r"), F.min("sig").alias("sig")).select("s1", "s2", "n", F.xxhash64("s1", "s2", "n").alias("node"), F.col("r.d").alias("rep"), F.col("r.t").alias("rt"), "sig"))
+    sigs = classes.select(F.col("node").alias("d"), "sig", F.col("rep").alias("id"), F.col("rt").alias("t"))
     whole, sketched = sketched, cut(sketched.drop("sig"))
     drop_cut(whole)
     texts, least = rows.select(F.col("d").alias("id"), "t", "x"), least_matches(percent, miss)
@@ -375,11 +361,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.shiftright(F.xxhash64("d"), 20)).alias("h1"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("h2")).filter("lo < hi and size > 2")
     once = apart.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key")
     open_ = cut(mixed.join(once, "key").select("key", "d", "comp"))
-    of_sig = _some(sigs, open_.select("d"))
-    hopeful = cut(_dealt(open_).join(of_sig.hint("merge"), "d").groupBy("key", "p", "q").applyInPandas(_hopeful(least), "key long, d long").distinct())
+    of_sig = sigs.select("d", "sig")
+    hopeful = cut(_dealt(open_).join(of_sig, "d").groupBy("key", "p", "q").applyInPandas(_hopeful(least), "key long, d long").distinct())
     if not hopeful.isEmpty():
         bodies = _bodies(texts, sigs, hopeful.select("d").distinct())
-        crossed = _dealt(open_.join(hopeful, ["key", "d"])).join(of_sig.hint("merge"), "d").join(bodies.hint("merge"), "d").groupBy("key", "p", "q").applyInPandas(_blocks(least, k, percent), "a long, b long")
+        crossed = _dealt(open_.join(hopeful, ["key", "d"])).join(of_sig, "d").join(bodies, "d").groupBy("key", "p", "q").applyInPandas(_blocks(least, k, percent), "a long, b long")
         comp = components(sigs.select("d"), links.unionByName(cut(crossed.distinct())))
     drop_cut(members)
     of_class = classes.select("s1", "s2", "n", "rep", F.col("node").alias("d")).join(comp, "d")
