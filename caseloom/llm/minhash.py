@@ -13,7 +13,8 @@
    bucket and round, for the members of other components than the pivot's: still m - 1 pairs at most.
 5. In buckets that stay open, members outside the largest component meet, in blocks and inside workers, every member of
    another component: once by signatures alone, which says who has a partner left at all, and then those, pruned and
-   verified as above, on the spot, with their texts. So no link between candidates is lost, no pairs are written, groups
+   verified as above, on the spot, with their texts, compressed until they are read. Two nodes that share several buckets
+   meet in that of their first common band alone. So no link between candidates is lost, no pairs are written, groups
    that pivots have joined cost nothing more, and texts travel only where signatures allow a link.
 
 Banding misses a pair of similarity 0.8 with chance (1 - 0.8**5)**32 < 4e-6, and pruning one with chance ``miss`` a
@@ -35,10 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, batches_of, cut, drop_cut, id_key, mix64, positional, prefix_hash, span_hash, text_buffer, tune, words
+from .common import LOWER, batches_of, cut, drop_cut, id_key, mix64, positional, prefix_hash, span_hash, text_buffer, texts_of, tune, words
 
 BANDS, ROWS = 32, 5
 BLOCK = 512
@@ -141,6 +143,8 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.zeros(sig.shape[:2], np.uint64) + salt
         for j in range(ROWS):
             key = mix64(key ^ sig[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+        # the band is the key's remainder, so that buckets of two bands never fall together
+        key = key // np.uint64(BANDS) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
         ids = np.repeat(b.column(0).to_numpy(), BANDS)
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["key", "d"])
 
@@ -172,6 +176,13 @@ def survive(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
     return alive
 
 
+def first_met(sig: np.ndarray, i: int, j: np.ndarray, key: int) -> np.ndarray:
+    """Those of ``j`` whose first band in common with ``i`` is that of the bucket ``key``."""
+    band = key % BANDS
+    same = (sig[j, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(j), band, ROWS).all(axis=2)
+    return j[~same.any(axis=1)]
+
+
 def _prune(least: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,11 +201,11 @@ def _verify(k: int, percent: int):
         for batch in batches_of(batches, 2):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             left, right = batch.column(2), batch.column(3)
-            ok = []
+            ok, unpack = [], zstandard.ZstdDecompressor().decompress
             for i, pivot in enumerate(a):
                 if pivot not in kept:
-                    kept = {pivot: shingle_set((left[i].as_py() or "").encode(), k)}  # rows come grouped by pivot mostly
-                ok.append(similar(kept[pivot], shingle_set((right[i].as_py() or "").encode(), k), percent))
+                    kept = {pivot: shingle_set(unpack(left[i].as_py()), k)}  # rows come grouped by pivot mostly
+                ok.append(similar(kept[pivot], shingle_set(unpack(right[i].as_py()), k), percent))
             at = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).take(at), pa.array(b, pa.int64()).take(at)], names=["a", "b"])
 
@@ -214,11 +225,13 @@ def _hopeful(least: np.ndarray):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, sig, comp = _sides(pdf)
+        key = int(pdf.key.iloc[0])
         has = np.zeros(len(pdf), bool)
         for at, i in enumerate(left.tolist()):
             j = right if len(right) else left[at + 1 :]
             j = j[(comp[j] != comp[i]) & ~(has[i] & has[j])]
             j = j[survive(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], least)] if len(j) else j
+            j = first_met(sig, i, j, key)
             if len(j):
                 has[i] = True
                 has[j] = True
@@ -250,13 +263,14 @@ def _blocks(least: np.ndarray, k: int, percent: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, sig, comp = _sides(pdf)
-        d, texts = pdf.d.to_numpy(), pdf.x.tolist()
+        d, texts, key = pdf.d.to_numpy(), pdf.x.tolist(), int(pdf.key.iloc[0])
+        unpack = zstandard.ZstdDecompressor().decompress
         vocabulary: dict[bytes, int] = {}
         sets: dict[int, np.ndarray] = {}
 
         def members(i: int) -> np.ndarray:
             if i not in sets:
-                found = shingle_set((texts[i] or "").encode(), k)
+                found = shingle_set(unpack(texts[i]), k)
                 sets[i] = np.array([vocabulary.setdefault(g, len(vocabulary)) for g in found], np.int64)
             return sets[i]
 
@@ -265,6 +279,7 @@ def _blocks(least: np.ndarray, k: int, percent: int):
             j = right if len(right) else left[at + 1 :]
             j = j[comp[j] != comp[i]]
             j = j[survive(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], least)] if len(j) else j
+            j = first_met(sig, i, j, key)
             if not len(j):
                 continue
             own = members(i)
@@ -307,10 +322,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor().compress
+    for b in batches_of(batches, 2):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t) for t in texts_of(b.column(1))], pa.binary())], names=["d", "x"])
+
+
 def _bodies(texts: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(d, x): a text of each of ``nodes`` (distinct d), written out."""
+    """(d, x): a text of each of ``nodes`` (distinct d), compressed, written out."""
     wanted = cut(sigs.select("d", "id", "t").join(nodes, "d"))
-    return cut(texts.join(wanted, ["id", "t"]).select("d", "x").dropDuplicates(["d"]))
+    bodies = cut(texts.join(wanted, ["id", "t"]).select("d", "x").mapInArrow(_packed, "d long, x binary").dropDuplicates(["d"]))
+    drop_cut(wanted)
+    return bodies
 
 
 def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -321,6 +344,7 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: np.ndar
     both = passed.join(bodies.select(F.col("d").alias("b"), F.col("x").alias("xb")), "b").join(bodies.select(F.col("d").alias("a"), F.col("x").alias("xa")), "a")
     links = cut(both.select("a", "b", "xa", "xb").mapInArrow(_verify(k, percent), "a long, b long").distinct())
     drop_cut(bodies)
+    drop_cut(passed)
     return links
 
 
@@ -342,11 +366,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = cut(of_id.join(several, "d").filter("a <> b").select("a", "b").distinct())
 
     keys = cut(sigs.select("d", "sig").mapInArrow(_band_keys, "key long, d long"))
-    shared = keys.groupBy("key").agg(F.min("d").alias("pivot"), F.max("d").alias("top")).filter("pivot < top").select("key", "pivot")
+    shared = keys.groupBy("key").agg(F.min("d").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "pivot")
     members = cut(keys.join(shared, "key").select("key", "pivot", "d"))
     drop_cut(keys)
+    # only nodes that share a bucket are compared from here on
+    every = sigs.select("d")
+    sigs = cut(sigs.join(members.select("d").distinct(), "d", "left_semi"))
     links = _confirm(members.filter("d <> pivot").select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct(), sigs, texts, least, k, percent).unionByName(same_id)
-    comp = components(sigs.select("d"), links)
+    comp = components(every, links)
 
     # buckets of three and more members (of two, both have met) that links have not joined
     for turn in range(PIVOT_ROUNDS):
@@ -355,18 +382,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), other).filter("lo < hi and size > 2").select("key", F.col("m.d").alias("to"), F.col("m.comp").alias("of"))
         pairs = now.join(mixed, "key").filter("comp <> of and d <> pivot and to <> pivot").select(F.least("d", "to").alias("a"), F.greatest("d", "to").alias("b")).distinct()
         links = links.unionByName(_confirm(pairs, sigs, texts, least, k, percent))
-        comp = cut(components(sigs.select("d"), links))
+        comp = cut(components(every, links))
     # what is open still, each set of members once
     mixed = members.join(comp, "d")
     apart = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.shiftright(F.xxhash64("d"), 20)).alias("h1"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("h2")).filter("lo < hi and size > 2")
-    once = apart.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    once = apart.groupBy("size", "h1", "h2").agg(F.min(F.struct(F.pmod("key", F.lit(BANDS)), "key")).alias("m")).select("m.key")  # the first band's, where its members first meet
     open_ = cut(mixed.join(once, "key").select("key", "d", "comp"))
     of_sig = sigs.select("d", "sig")
     hopeful = cut(_dealt(open_).join(of_sig, "d").groupBy("key", "p", "q").applyInPandas(_hopeful(least), "key long, d long").distinct())
     if not hopeful.isEmpty():
         bodies = _bodies(texts, sigs, hopeful.select("d").distinct())
         crossed = _dealt(open_.join(hopeful, ["key", "d"])).join(of_sig, "d").join(bodies, "d").groupBy("key", "p", "q").applyInPandas(_blocks(least, k, percent), "a long, b long")
-        comp = components(sigs.select("d"), links.unionByName(cut(crossed.distinct())))
+        comp = components(every, links.unionByName(cut(crossed.distinct())))
     drop_cut(members)
     of_class = classes.select("s1", "s2", "n", "rep", F.col("node").alias("d")).join(comp, "d")
     name = of_class.groupBy("comp").agg(F.min("rep").alias("component"))
