@@ -20,9 +20,9 @@ def _tok(source: str, id_: str) -> str:
     return f"tk AS (SELECT DISTINCT id, token FROM (SELECT {id_} AS id, unnest(regexp_extract_all(lower(text), '[a-z][a-z'']+')) AS token FROM {source}) WHERE NOT list_contains({_STOP}, token))"
 
 
-@query("content_tokens", f"WITH {_tok('benchmark', 'item_id')} SELECT id, count(*) AS n, string_agg(token, ' ' ORDER BY token) AS tokens FROM tk GROUP BY id")
+@query("content_tokens", f"WITH {_tok('documents', 'doc_id')} SELECT id, count(*) AS n, string_agg(token, ' ' ORDER BY token) AS tokens FROM tk GROUP BY id")
 def content_tokens(spark, sf) -> DataFrame:
-    t = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), X.content_tokens(F.col("text")).alias("t"))
+    t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.content_tokens(F.col("text")).alias("t"))
     return t.filter(F.size("t") > 0).select("id", F.size("t").cast("bigint").alias("n"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
@@ -41,14 +41,17 @@ def strong_tokens(spark, sf) -> DataFrame:
 
 @query(
     "similar_pairs",
-    f"""WITH {_tok('benchmark', 'item_id')}, n AS (SELECT count(*) AS n FROM benchmark), w AS (SELECT token, ln((SELECT n FROM n) / count(*)) AS idf FROM tk GROUP BY token HAVING count(*) < (SELECT n FROM n)),
-t AS (SELECT id, token, idf FROM tk JOIN w USING (token)), m AS (SELECT id, sum(idf) AS mass FROM t GROUP BY id),
-p AS (SELECT a.id AS a, b.id AS b, sum(a.idf) AS shared, count(*) AS n_content FROM t a JOIN t b ON a.token = b.token AND a.id < b.id GROUP BY ALL)
-SELECT a, b, n_content, round(2 * shared / (x.mass + y.mass), 6) AS score FROM p JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE 2 * shared / (x.mass + y.mass) >= 0.2""",
+    f"""WITH r AS (SELECT 0 AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents), n AS (SELECT count(*) AS n FROM r),
+tk AS (SELECT DISTINCT side, id, token FROM (SELECT side, id, unnest(regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z'' ]', ' ', 'g')), '[a-z][a-z'']+')) AS token FROM r) WHERE NOT list_contains({_STOP}, token)),
+w AS (SELECT token, ln((SELECT n FROM n) / count(*)) AS idf FROM tk GROUP BY token HAVING count(*) < (SELECT n FROM n)),
+t AS (SELECT side, id, token, idf FROM tk JOIN w USING (token)), m AS (SELECT side, id, sum(idf) AS mass FROM t GROUP BY ALL),
+p AS (SELECT a.id AS a, b.id AS b, sum(a.idf) AS shared, count(*) AS n_content FROM t a JOIN t b ON a.token = b.token AND a.side = 0 AND b.side = 1 GROUP BY ALL)
+SELECT a, b, n_content, round(2 * shared / (x.mass + y.mass), 6) AS score FROM p JOIN m x ON x.side = 0 AND x.id = a JOIN m y ON y.side = 1 AND y.id = b WHERE 2 * shared / (x.mass + y.mass) >= 0.3""",
 )
 def similar_pairs(spark, sf) -> DataFrame:
-    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.regexp_replace("text", r"[^A-Za-z' ]", " ").alias("text"))
-    p = S.similar_pairs(words, min_score=0.2)
+    """Every benchmark passage against every document, by words alone."""
+    words = lambda name, id_: table(spark, sf, name).select(F.col(id_).alias("id"), F.regexp_replace("text", r"[^A-Za-z' ]", " ").alias("text"))
+    p = S.similar_pairs(words("benchmark", "item_id"), words("documents", "doc_id"), min_score=0.3)
     return p.select("a", "b", F.col("n_content").cast("bigint").alias("n_content"), F.round("score", 6).alias("score"))
 
 
