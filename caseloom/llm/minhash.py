@@ -18,7 +18,8 @@
    that pivots have joined cost nothing more, and texts travel only where signatures allow a link.
 
 Banding misses a pair of similarity 0.8 with chance (1 - 0.8**5)**32 < 4e-6, and pruning one with chance ``miss`` a
-batch at most. There is no cap on buckets, partners or candidates. Signatures and texts meet by joins on nodes.
+batch at most. There is no cap on buckets, partners or candidates. Signatures and texts meet by joins on nodes; a bitmap of
+fixed size keeps most texts that nobody asked for from moving at all.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document with fewer words than a shingle has its whole sequence
 as one shingle. Edge cases: null or empty texts, and texts without words, have no shingles and link with nothing, not
@@ -46,6 +47,8 @@ BANDS, ROWS = 32, 5
 BLOCK = 512
 #: Rounds of new pivots for open buckets.
 PIVOT_ROUNDS = 1
+#: Longs of the bitmap that says which texts are wanted: 2**24 bits, broadcast as rows (word, bits).
+FILTER_WORDS = 2**18
 #: Rounds after which stars that still move are an error; they settle in about the logarithm of the longest chain.
 MAX_ROUNDS = 64
 
@@ -325,13 +328,28 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor().compress
     for b in batches_of(batches, 2):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t) for t in texts_of(b.column(1))], pa.binary())], names=["d", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t) for t in texts_of(b.column(2))], pa.binary())], names=["id", "t", "x"])
+
+
+def _perhaps(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` without most of those whose keys ``on`` are not in ``wanted``, and with all of those whose are.
+
+    Hashed keys are bits of at most FILTER_WORDS longs, so what is broadcast has that many rows at any size of the data.
+    Beyond about as many keys as bits, more other rows pass; an exact join has to follow.
+    """
+    hashed = lambda df: df.withColumn("__h", F.xxhash64(*on, F.lit(3)))
+    word = F.pmod(F.shiftrightunsigned("__h", 6), F.lit(FILTER_WORDS)).alias("__word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__h").bitwiseAND(63).cast("int"))
+    bits = hashed(wanted).select(word, bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    placed = hashed(rows).select(*rows.columns, word, bit.alias("__bit"))
+    return placed.join(F.broadcast(bits), "__word").filter(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).select(*rows.columns)
 
 
 def _bodies(texts: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(d, x): a text of each of ``nodes`` (distinct d), compressed, written out."""
+    """(d, x): a text of each of ``nodes`` (distinct d), compressed, written out. Other texts mostly do not move."""
     wanted = cut(sigs.select("d", "id", "t").join(nodes, "d"))
-    bodies = cut(texts.join(wanted, ["id", "t"]).select("d", "x").mapInArrow(_packed, "d long, x binary").dropDuplicates(["d"]))
+    packed = _perhaps(texts.select("id", "t", "x"), wanted, ["id", "t"]).mapInArrow(_packed, "id long, t long, x binary")
+    bodies = cut(packed.join(wanted, ["id", "t"]).select("d", "x").dropDuplicates(["d"]))
     drop_cut(wanted)
     return bodies
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from caseloom.llm import minhash, registry
 from caseloom.llm.common import NULL_ID
@@ -120,3 +121,15 @@ def test_every_text_of_an_id_links(make_docs):
     got = found(make_docs(rows), k=2)
     assert got == brute(rows, 2)
     assert {c for d, _, c in got if d in range(20, 24)} == {5} and {c for d, _, c in got if d in range(40, 44)} == {NULL_ID}
+
+
+@pytest.mark.parametrize("words", [minhash.FILTER_WORDS, 1])
+def test_wanted_texts_all_pass(spark, monkeypatch, words):
+    monkeypatch.setattr(minhash, "FILTER_WORDS", words)
+    rows = spark.range(-2, 3000).selectExpr("id", "id * 7 as t", "'x' as x")
+    wanted = spark.range(-2, 3000, 10).selectExpr("id", "id * 7 as t")
+    passed = minhash._perhaps(rows, wanted, ["id", "t"])
+    ids = [r.id for r in passed.collect()]
+    assert passed.columns == ["id", "t", "x"] and len(ids) == len(set(ids)) and set(ids) >= set(range(-2, 3000, 10))
+    assert len(ids) < 310 or words == 1
+    assert minhash._perhaps(rows, wanted.limit(0), ["id", "t"]).isEmpty()
