@@ -73,8 +73,7 @@ def greedy_pairs(spark, sf) -> DataFrame:
     """Suppliers and customers of one nation, paired by how near their balances are."""
     pad = lambda t, c: F.concat(F.lit(t), F.lpad(F.col(c).cast("string"), 12, "0"))
     s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
-    p = s.join(c, s.s_nationkey == c.c_nationkey).select(pad("s", "s_suppkey").alias("a"), pad("t", "c_custkey").alias("b"), F.round(-F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 2).alias("score"))
-    return S.greedy_matches(p)
+    return S.greedy_nearest(s.select(pad("s", "s_suppkey").alias("a"), F.col("s_nationkey").alias("part"), F.col("s_acctbal").alias("at")), c.select(pad("t", "c_custkey").alias("b"), F.col("c_nationkey").alias("part"), F.col("c_acctbal").alias("at")))
 
 
 @query(

@@ -151,6 +151,32 @@ def test_matching_leaves_no_pair_of_a_large_tie_group(spark, few):
     assert {(r.a, r.b, r.score) for r in got.collect()} == one_by_one(scored)
 
 
+@pytest.mark.parametrize("places,odd", [(1, False), (40, False), (100_000, False), (40, True)])
+def test_nearest_matching_equals_greedy_over_all_pairs(spark, places, odd):
+    """Ties at one value, ties of distance, rows without a value, parts of one side only; a key twice and thirds of a cent."""
+    import random
+
+    rng = random.Random(places)
+    at = lambda: None if rng.random() < 0.1 else rng.randrange(-places, places) / 100 + odd * rng.randrange(3) / 300
+    left = [(f"s{i:03d}", rng.randrange(3), at()) for i in range(60)] + [("s999", 7, 1.0), (None, 1, 1.0), ("sx", None, 1.0)] + [("s001", 2, 0.5)] * odd
+    right = [(f"t{i:03d}", rng.randrange(3), at()) for i in range(90)] + [("t999", 8, 1.0)]
+    scored = [(a, b, None if x is None or y is None else round(-abs(x - y), 2)) for a, p, x in left for b, q, y in right if a is not None and p == q]
+    want, used = set(), set()
+    for a, b, score in sorted(scored, key=lambda t: (t[2] is None, -(t[2] or 0.0), t[0], t[1])):
+        if a not in used and b not in used:
+            want.add((a, b, score))
+            used |= {a, b}
+    got = S.greedy_nearest(spark.createDataFrame(left, "a string, part int, at double"), spark.createDataFrame(right, "b string, part int, at double")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_nearest_matching_forms_no_pairs(spark):
+    """30,000 and 40,000 rows of one part have 1.2 billion pairs."""
+    rows = lambda c, n: spark.range(n).select(F.format_string(c + "%09d", "id").alias(c), F.lit(1).alias("part"), ((F.col("id") * 7919 % 100_003) / 100).alias("at"))
+    got = S.greedy_nearest(rows("a", 30_000), rows("b", 40_000))
+    assert got.agg(F.count("a"), F.countDistinct("a"), F.countDistinct("b"), F.min("score") == 0.0).first()[:] == (30_000, 30_000, 30_000, True)
+
+
 def test_similar(spark):
     rows = [("1", "Acme Corp March retainer handover"), ("2", "Acme Corporation March retainer"), ("3", "Weekly lunch menu options"), ("4", "Server outage postmortem"), ("5", None)]
     d = spark.createDataFrame(rows, "id string, text string")
