@@ -7,7 +7,7 @@ orphans.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,12 +59,74 @@ def anchor_claims(links: DataFrame) -> DataFrame:
     return named.groupBy(F.col("target").alias("node")).agg(F.min_by(F.struct("anchor_rank", "method", "tier"), F.struct(F.col("fallback"), (-F.col("tier")).alias("t"), "decl_seq")).alias("c")).select("node", "c.*")
 
 
-@dataclass
 class Cases:
-    cases: DataFrame  # case_id, anchor, kind_hint, tier, rationale
-    members: DataFrame  # case_id, entity_id
-    unresolved: DataFrame  # src, target, method
-    loose: DataFrame  # entity_id of records in no case
+    """What links make of records. Each table is worked out when it is first asked for, and steps that several share once.
+
+    cases: case_id, anchor, kind_hint, tier, rationale; members: case_id, entity_id; unresolved: src, target, method; loose:
+    entity_id of records in no case.
+    """
+
+    def __init__(self, entities: DataFrame, records: DataFrame, links: DataFrame):
+        # one row a record, written once: its source is not read again by every step below
+        self._entities = materialise(entities.filter(~F.col("type").isin(*SKIP_TYPES)).select("entity_id", "type").dropDuplicates(["entity_id"]))
+        self._records = records
+        # sources are known before the first declaration is looked for: both need rows of a source together
+        linked = dedupe_links(links.join(self._entities.select(F.col("entity_id").alias("src")), "src", "left_semi"))
+        linked, self._invented = resolve(self._entities, linked)
+        self._linked = materialise(linked)
+
+    @cached_property
+    def _parts(self) -> tuple[DataFrame, DataFrame]:
+        """(components (node, component, type, real), links that apply)."""
+        linked = self._linked
+        pairs = linked.filter("resolved and not fallback").select(F.col("src").alias("a"), F.col("target").alias("b"))
+        known = self._entities.select(F.col("entity_id").alias("node"), "type", F.lit(True).alias("real"))
+        nodes = known.unionByName(self._invented.select("node", F.lit(None).cast("string").alias("type"), F.lit(False).alias("real")))
+        firm = connected_components(nodes, pairs)
+        if linked.filter("fallback").isEmpty():
+            return firm, linked
+        alone = firm.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("component").alias("src"))
+        first = linked.filter("resolved and fallback").join(alone, "src", "left_semi").groupBy("src").agg(F.min_by("target", "decl_seq").alias("target"))
+        comp = connected_components(nodes, pairs.unionByName(first.select(F.col("src").alias("a"), F.col("target").alias("b"))))
+        return comp, linked.join(first.withColumn("__f", F.lit(True)), ["src", "target"], "left").filter("not fallback or __f").drop("__f")
+
+    @cached_property
+    def _named(self) -> DataFrame:
+        """One row a case, with its component."""
+        comp, live = self._parts
+        claims, attach = anchor_claims(live), first_claims(live)
+        n = comp.join(self._records.select(F.col("entity_id").alias("node"), "n"), "node", "left").join(claims, "node", "left")
+        n = n.join(attach.select("node", F.struct("tier", "rationale").alias("link")), "node", "left")
+        rank = F.struct(F.coalesce("anchor_rank", F.lit(99)).alias("rank"), F.col("real").alias("entity"), (-F.coalesce("n", F.lit(0))).alias("few"), F.col("node").alias("id"), "type", F.col("tier").alias("own"))
+        g = n.groupBy("component").agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count("method").alias("claimed"),
+            F.min(F.when(F.col("method").isNotNull(), rank)).alias("pick"), F.min("link").alias("weakest"),
+        )
+        g = g.filter("records > 0 and claimed > 0").select("component", F.col("pick.id").alias("anchor"), F.col("pick.type").alias("type"), F.col("pick.own").alias("own"), "weakest")
+        named = g.join(self._invented.select(F.col("node").alias("anchor"), "kind"), "anchor", "left")
+        return named.select(
+            "component", F.concat(F.lit("case:"), "anchor").alias("case_id"), "anchor",
+            F.coalesce("type", "kind", F.substring_index("anchor", ":", 1)).alias("kind_hint"),
+            F.least(F.col("weakest.tier"), F.col("own")).alias("tier"), F.col("weakest.rationale").alias("rationale"),
+        )
+
+    @cached_property
+    def cases(self) -> DataFrame:
+        return self._named.drop("component")
+
+    @cached_property
+    def members(self) -> DataFrame:
+        real = self._parts[0].filter("real")
+        return real.join(self._named.select("component", "case_id"), "component").select("case_id", F.col("node").alias("entity_id"))
+
+    @cached_property
+    def loose(self) -> DataFrame:
+        real = self._parts[0].filter("real")
+        return real.join(self._named.select("component"), "component", "left_anti").select(F.col("node").alias("entity_id"))
+
+    @cached_property
+    def unresolved(self) -> DataFrame:
+        return self._linked.filter("not resolved").select("src", "target", "method")
 
 
 def build_cases(entities: DataFrame, records: DataFrame, links: DataFrame) -> Cases:
@@ -72,39 +134,7 @@ def build_cases(entities: DataFrame, records: DataFrame, links: DataFrame) -> Ca
 
     ``records``: entity_id and n, its events and observations. Fallback links apply to nodes that firm links leave alone.
     """
-    entities = entities.filter(~F.col("type").isin(*SKIP_TYPES))
-    links = dedupe_links(links).join(entities.select(F.col("entity_id").alias("src")), "src", "left_semi")
-    linked, invented = resolve(entities, links)
-    linked = materialise(linked)
-    nodes = entities.select(F.col("entity_id").alias("node")).unionByName(invented.select("node")).distinct()
-    firm = connected_components(nodes, linked.filter("resolved and not fallback").select(F.col("src").alias("a"), F.col("target").alias("b")))
-    live, comp = linked, firm
-    if not linked.filter("fallback").isEmpty():
-        alone = firm.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("component").alias("src"))
-        first = linked.filter("resolved and fallback").join(alone, "src", "left_semi").groupBy("src").agg(F.min_by("target", "decl_seq").alias("target"))
-        used = linked.filter("resolved and not fallback").select("src", "target").unionByName(first.select("src", "target"))
-        comp = connected_components(nodes, used.select(F.col("src").alias("a"), F.col("target").alias("b")))
-        live = linked.join(first.withColumn("__f", F.lit(True)), ["src", "target"], "left").filter("not fallback or __f").drop("__f")
-
-    claims, attach = anchor_claims(live), first_claims(live)
-    n = comp.join(records.select(F.col("entity_id").alias("node"), "n"), "node", "left").join(claims, "node", "left").join(entities.select(F.col("entity_id").alias("node"), "type"), "node", "left")
-    n = n.join(attach.select("node", F.struct("tier", "rationale").alias("link")), "node", "left")
-    rank = F.struct(F.coalesce("anchor_rank", F.lit(99)).alias("rank"), F.col("type").isNotNull().alias("entity"), (-F.coalesce("n", F.lit(0))).alias("few"), F.col("node").alias("id"))
-    g = n.groupBy("component").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count("method").alias("claimed"),
-        F.min(F.when(F.col("method").isNotNull(), rank)).alias("pick"), F.min("link").alias("weakest"),
-    )
-    g = g.filter("records > 0 and claimed > 0").withColumn("anchor", F.col("pick.id"))
-    named = g.join(claims.select(F.col("node").alias("anchor"), F.col("tier").alias("own")), "anchor").join(entities.select(F.col("entity_id").alias("anchor"), F.col("type")), "anchor", "left").join(invented.select(F.col("node").alias("anchor"), "kind"), "anchor", "left")
-    cases = named.select(
-        "component", F.concat(F.lit("case:"), "anchor").alias("case_id"), "anchor",
-        F.coalesce("type", "kind", F.substring_index("anchor", ":", 1)).alias("kind_hint"),
-        F.least(F.col("weakest.tier"), F.col("own")).alias("tier"), F.col("weakest.rationale").alias("rationale"),
-    )
-    real = comp.join(entities.select(F.col("entity_id").alias("node")), "node", "left_semi")
-    members = real.join(cases.select("component", "case_id"), "component").select("case_id", F.col("node").alias("entity_id"))
-    loose = real.join(cases.select("component"), "component", "left_anti").select(F.col("node").alias("entity_id"))
-    return Cases(cases.drop("component"), members, linked.filter("not resolved").select("src", "target", "method"), loose)
+    return Cases(entities, records, links)
 
 
 def anchor_attrs(node: Column) -> dict[str, Column]:

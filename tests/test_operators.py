@@ -114,6 +114,22 @@ def test_components(spark):
     assert graph.connected_components(nodes.limit(0), edges.limit(0)).count() == 0
 
 
+def test_stars_need_no_rounds_and_links_no_components(spark, monkeypatch):
+    def never(*a, **k):
+        raise AssertionError("not needed")
+
+    monkeypatch.setattr(graph, "_rounds", never, raising=False)
+    edges = spark.createDataFrame([("h", "b"), ("c", "h"), ("h", "d"), ("y", "x")], "a string, b string")
+    nodes = spark.createDataFrame([(n,) for n in "bcdhxyz"], "node string")
+    assert {r.node: r.component for r in graph.connected_components(nodes, edges).collect()} == {**dict.fromkeys("bcdh", "b"), "x": "x", "y": "x", "z": "z"}
+    monkeypatch.setattr(linking, "connected_components", never)
+    ents = spark.createDataFrame([("l:1", "line")], "entity_id string, type string")
+    none = F.lit(None).cast("string")
+    links = ents.select(F.col("entity_id").alias("src"), F.lit("o:1").alias("target"), F.lit("fk").alias("method"), F.lit(3).alias("tier"), none.alias("rationale"), none.alias("materialise"), F.lit(False).alias("virtual"), F.lit(True).alias("anchors"), F.lit(0).alias("anchor_rank"), F.lit(False).alias("fallback"), F.lit(1).cast("long").alias("decl_seq"))
+    built = linking.build_cases(ents, ents.select("entity_id", F.lit(1).cast("long").alias("n")), links)
+    assert [tuple(r) for r in built.unresolved.collect()] == [("l:1", "o:1", "fk")]
+
+
 def test_matching_equals_greedy(spark):
     import random
 
