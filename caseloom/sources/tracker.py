@@ -6,6 +6,7 @@ are counted and flagged; a row with no readable date is an observation of a stat
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,14 +45,28 @@ def unpivot_dates(df: DataFrame, case: str, steps: dict[str, str]) -> DataFrame:
 
 
 def read_rows(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Cells as trimmed strings, null as empty, in file order (``row``). The delimiter is the most frequent of , ; and tab
-    in the first line unless given. Numbering rows reads the file in one task: trackers are sheets, not logs."""
+    """Cells as trimmed strings, null as empty, in file order (``row``; files by name). The delimiter is the most frequent
+    of , ; and tab in the first line unless given.
+
+    Files are read in pieces where no line can be part of a longer record: every quote belongs to a whole quoted cell,
+    lines end in a line feed alone and none is of spaces only. Otherwise each file is read by one task. Rows are numbered from the sizes of the pieces.
+    """
     first = spark.read.text(path).limit(1).collect()
     head = (first[0].value if first else "").lstrip("﻿")
     sep = sep or max(",;\t", key=lambda c: (head.count(c), -",;\t".index(c)))
-    raw = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    clean = raw.select(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c.lstrip("﻿").strip()) for c in raw.columns])
-    return clean.coalesce(1).withColumn("row", F.monotonically_increasing_id())
+    cell, mark = r'[ \t]*+"(?:[^"]++|"")*+"[ \t]*+', re.escape(sep)
+    plain = f'[^"{mark}]*+'
+    whole = F.col("value").rlike(f"^(?:{cell}|{plain})(?:{mark}(?:{cell}|{plain}))*+$")
+    apart = ~F.col("value").contains("\r") & ((F.col("value") == "") | (F.trim("value") != "")) & (~F.col("value").contains('"') | whole)
+    multi = not spark.read.option("lineSep", "\n").text(path).filter(~apart).isEmpty()
+    raw = spark.read.csv(path, header=True, sep=sep, multiLine=multi, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at")]
+    clean = raw.select(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c.lstrip("﻿").strip()) for c in raw.columns], *place)
+    # one row a piece: the number of its first row, less the place that row has in its task
+    pieces = clean.groupBy("__file", "__start").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = F.sum("__n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select("__file", "__start", (F.coalesce(earlier, F.lit(0)) - F.col("__first")).alias("__by"))
+    return clean.join(F.broadcast(pieces), ["__file", "__start"]).withColumn("row", F.col("__at") + F.col("__by")).drop("__file", "__start", "__at", "__by")
 
 
 def shape(rows: DataFrame, spec: TableSpec) -> Shaped:

@@ -44,6 +44,21 @@ def test_tracker(invoices):
     assert ("invoice:I-1", "row-identity") in methods and ("invoice:I-2", "foreign-key") in methods
 
 
+@pytest.mark.parametrize("odd", [None, '"two\nlines";9', '5" , "";x', "   "])
+def test_rows_of_large_files_are_read_in_pieces(spark, tmp_path, odd):
+    lines = [f'k{i};"a;b ""{i}"""' for i in range(3000)]
+    for name, part in (("a.csv", lines[:2000]), ("b.csv", lines[2000:])):
+        (tmp_path / name).write_text("\n".join(["key;note", *part, *([odd] if odd and name == "b.csv" else [])]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = tracker.read_rows(spark, str(tmp_path))
+        parts, rows = got.rdd.getNumPartitions(), sorted(got.collect(), key=lambda r: r.row)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.key, r.note) for r in rows[:3000]] == [(f"k{i}", f'a;b "{i}"') for i in range(3000)]
+    assert [r.row for r in rows] == list(range(len(rows))) and parts > (1 if odd else 8)
+
+
 def test_profile_counts_only_what_is_asked(spark):
     rows = spark.createDataFrame([("a", "2024-01-02", None), ("a", " ", "1,5"), (" a ", "soon", "7"), (None, "2024-01-02", "")], "x string, `y.z` string, n string")
     assert detect.profile(rows, rows.columns) == {"x": {"filled": 3, "distinct": 1, "dates": 0, "numbers": 0}, "y.z": {"filled": 3, "distinct": 2, "dates": 2, "numbers": 0}, "n": {"filled": 2, "distinct": 2, "dates": 0, "numbers": 2}}
